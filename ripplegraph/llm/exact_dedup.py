@@ -11,10 +11,9 @@ Main path: DataFrame operations only.  The join that hands labels back to the
 rows may meet a digest that a third of all rows share; the rows are narrow
 there and adaptive execution splits that partition.
 
-Results: one row for each input row, ties and repeated rows included (rows with
-the same id and text are one group; each gets the label of its text).  Null text
-is empty text.  A row with a null id never becomes the kept one unless all ids
-of its group are null.
+Results: one row for each input row.  Of rows repeated with the same id and
+text, one is kept at most.  Null text is empty text.  A row with a null id never
+becomes the kept one unless all ids of its group are null.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
@@ -59,17 +60,17 @@ def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     keep_id is the smallest id of the text's group in the first batch that held
     the text; kept marks that row.  group_size counts the rows of this batch.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
-    groups = rows.groupBy("digest").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-    fresh = groups.join(index.read(), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"))
-    index.append(fresh)
-    known = index.read()
-    labels = groups.join(known, "digest").select("digest", "keep_id", "group_size")
-    labelled = rows.join(labels, "digest")
-    return labelled.select(
+    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), digest.alias("digest")).groupBy("digest", "row_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = stored(rows, "digests")  # texts are read and hashed once; from here on rows are narrow
+    groups = rows.groupBy("digest").agg(F.min("row_id").alias("first_id"), F.sum("copies").alias("group_size"))
+    index.append(groups.join(index.read(), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id")))
+    labels = groups.join(index.read(), "digest").select("digest", "keep_id", "group_size")
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return rows.join(labels, "digest").select("digest", "row_id", "keep_id", "group_size", each).select(
         F.col("row_id").alias(id_col),
         "keep_id",
         "group_size",
-        F.coalesce(F.col("row_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        (F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         "digest",
     )
