@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, secret_scan, token_counts
+from . import bpe, exact_dedup, quality_knn, secret_scan, token_counts, toxicity
 from .shared import small_batches
 
 
@@ -32,6 +32,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _judged(scored: DataFrame, folds: int, fold: int) -> DataFrame:
+    held = quality_knn.held_out(F.col("doc_id"), folds, fold)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_knn.fit(docs, labels.where(~quality_knn.held_out(F.col("doc_id"), 3, 1)))
+    return _judged(quality_knn.score(docs, model), 3, 1)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~quality_knn.held_out(F.col("doc_id"), 5, 0)))
+    return _judged(toxicity.score(docs, model), 5, 0)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -65,8 +84,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
+        "op4_quality_knn": op4_quality_knn,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
