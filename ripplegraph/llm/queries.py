@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_knn, secret_scan, token_counts, topk_search, toxicity
+from . import bpe, exact_dedup, quality_knn, secret_scan, source_mixing, token_counts, topk_search, toxicity
 from .shared import small_batches
 
 
@@ -27,6 +27,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
     return labelled.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
         "op8_toxicity": op8_toxicity,
+        "op9_source_mixing": op9_source_mixing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
