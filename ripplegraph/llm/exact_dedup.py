@@ -65,7 +65,8 @@ def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     rows = stored(rows, "digests")  # texts are read and hashed once; from here on rows are narrow
     groups = rows.groupBy("digest").agg(F.min("row_id").alias("first_id"), F.sum("copies").alias("group_size"))
     index.append(groups.join(index.read(), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id")))
-    labels = groups.join(index.read(), "digest").select("digest", "keep_id", "group_size")
+    # Read back, so that the join below has a shuffle of its own on either side, which adaptive execution can split.
+    labels = stored(groups.join(index.read(), "digest").select("digest", "keep_id", "group_size"), "labels")
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     return rows.join(labels, "digest").select("digest", "row_id", "keep_id", "group_size", each).select(
         F.col("row_id").alias(id_col),
