@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, quality_knn, secret_scan, source_mixing, token_counts, topk_search, toxicity
+from . import bpe, exact_dedup, ngram_join, quality_knn, secret_scan, source_mixing, token_counts, topk_search, toxicity
 from .shared import small_batches
 
 
@@ -27,6 +27,11 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_knn": op4_quality_knn,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
+        "op7_ngram_join": op7_ngram_join,
         "op8_toxicity": op8_toxicity,
         "op9_source_mixing": op9_source_mixing,
         "op10_exact_dedup": op10_exact_dedup,
