@@ -171,3 +171,19 @@ def score(df: DataFrame, model: KnnModel, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_pydict({id_col: b.column(0).slice(i, j - i), "score": pa.array(s, pa.float64())})
 
     return df.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
+
+
+def keep(df: DataFrame, model: KnnModel, at_least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose score reaches at_least; nothing is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            buf, offs = text_buffer(b.column(at))
+            for i, j in row_slices(offs):
+                s = m.vote(m.project(term_weights(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])))
+                yield b.slice(i, j - i).filter(pa.array(s >= at_least))
+
+    return df.mapInArrow(work, df.schema)
