@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, quality_knn, secret_scan, source_mixing, token_counts, topk_search, toxicity
+from . import bpe, exact_dedup, ngram_join, quality_knn, secret_scan, source_mixing, suffix_dedup, token_counts, topk_search, toxicity
 from .shared import small_batches
 
 
@@ -59,6 +59,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    stripped = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return stripped.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _judged(scored: DataFrame, folds: int, fold: int) -> DataFrame:
     held = quality_knn.held_out(F.col("doc_id"), folds, fold)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -112,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
         "op2_topk_search": op2_topk_search,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_knn": op4_quality_knn,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
