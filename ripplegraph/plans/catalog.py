@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reach_queries
+from . import link_queries, reach_queries
 
-QUERIES = dict(reach_queries.QUERIES)
-ORACLES = dict(reach_queries.ORACLES)
+QUERIES = {**reach_queries.QUERIES, **link_queries.QUERIES}
+ORACLES = {**reach_queries.ORACLES, **link_queries.ORACLES}
