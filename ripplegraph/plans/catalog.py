@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import link_queries, reach_queries
+from . import ingest_queries, link_queries, reach_queries
 
-QUERIES = {**reach_queries.QUERIES, **link_queries.QUERIES}
-ORACLES = {**reach_queries.ORACLES, **link_queries.ORACLES}
+QUERIES = {**reach_queries.QUERIES, **link_queries.QUERIES, **ingest_queries.QUERIES}
+ORACLES = {**reach_queries.ORACLES, **link_queries.ORACLES, **ingest_queries.ORACLES}
