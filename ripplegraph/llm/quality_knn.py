@@ -16,7 +16,7 @@ covers all data: each whole text is scored.
 Results: one row for each input row; null and empty texts are scored as empty
 texts; repeated rows get equal scores; without labelled rows every score is 0.5.
 Ties between equally similar neighbours fall to the smaller position in the
-sample, so a score depends on the text alone.
+sample, so a score depends on the text alone, but for rounding of the products.
 """
 
 from __future__ import annotations
