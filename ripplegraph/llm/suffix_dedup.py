@@ -16,8 +16,9 @@ strings are judged on the input and never cross rows.
    bytes; in each such group all but the earliest window repeat.
 4. Each row's repeated windows join to removed spans.
 
-A passage in any number of rows thus costs narrow rows, dealt by anchor, and one
-segment for each distinct surrounding.  Contents are told apart by 48 bits of a
+A passage in any number of rows thus costs narrow rows and one segment for each
+distinct surrounding; of a class's members in one slice of the input, only the
+earliest is dealt by anchor, the others are dealt evenly.  Contents are told apart by 48 bits of a
 hash under one anchor; suffixes are compared by their bytes.
 
 Results: one row for each input row.  Null and short texts have no spans.  A null
@@ -111,7 +112,18 @@ def _tagged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("row_id"), F.hash(text).alias("tag"), text.alias("row_text"))
 
 
-_COLUMNS = (("low", np.uint32), ("high", np.uint8), ("d_low", np.uint32), ("d_high", np.uint16), ("row_id", np.int64), ("tag", np.int32), ("first", np.int32), ("more", np.uint8))
+def _later(anchor: np.ndarray, digest: np.ndarray, row_id: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether an earlier place among these has the same anchor and content."""
+    order = np.lexsort((first, row_id, digest, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    out = np.zeros(len(order), bool)
+    out[order] = (row_id[order] != row_id[head]) | (first[order] != first[head])
+    return out
+
+
+_COLUMNS = (("low", np.uint32), ("high", np.uint8), ("d_low", np.uint32), ("d_high", np.uint16), ("row_id", np.int64), ("tag", np.int32), ("first", np.int32), ("more", np.uint8), ("sure", np.uint8))
 
 
 def _repeats_and_rest(texts: DataFrame, buckets: int) -> DataFrame:
@@ -123,13 +135,17 @@ def _repeats_and_rest(texts: DataFrame, buckets: int) -> DataFrame:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             buf, offs = text_buffer(b.column(2))
             for row, first, last, anchor, digest in _pieces(buf, offs):
-                bucket = ((anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                # Of a class that comes often here the earliest member alone meets other tasks' members;
+                # the later ones repeat for certain and go where there is room.
+                sure = _later(anchor, digest, ids[row], first)
+                spread = mix(ids[row].view(np.uint64) + first.astype(np.uint64)) % np.uint64(buckets)
+                bucket = np.where(sure, spread, (anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((anchor, bucket))
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(bounds))
-                row, first, last, anchor, digest = (x[order] for x in (row, first, last, anchor, digest))
+                row, first, last, anchor, digest, sure = (x[order] for x in (row, first, last, anchor, digest, sure))
                 # Bits above those that chose the bucket are shared by many; 40 lower bits tell anchors apart.
-                columns = {"low": anchor, "high": anchor >> np.uint64(32), "d_low": digest, "d_high": digest >> np.uint64(32), "row_id": ids[row], "tag": tags[row], "first": first, "more": last - first}
+                columns = {"low": anchor, "high": anchor >> np.uint64(32), "d_low": digest, "d_high": digest >> np.uint64(32), "row_id": ids[row], "tag": tags[row], "first": first, "more": last - first, "sure": sure}
                 packed = {"bucket": pa.array(full.astype(np.int32))}
                 for name, kind in _COLUMNS:
                     x = columns[name]
@@ -143,8 +159,14 @@ def _repeats_and_rest(texts: DataFrame, buckets: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 parts.setdefault(row[0], []).append(row[1:])
         for bucket in list(parts):
-            low, high, d_low, d_high, row_id, tag, first, more = (np.concatenate([np.frombuffer(r[k], kind) for r in parts[bucket]]) for k, (_, kind) in enumerate(_COLUMNS))
+            low, high, d_low, d_high, row_id, tag, first, more, sure = (np.concatenate([np.frombuffer(r[k], kind) for r in parts[bucket]]) for k, (_, kind) in enumerate(_COLUMNS))
             del parts[bucket]
+            if sure.any():
+                k = np.flatnonzero(sure)
+                yield pa.RecordBatch.from_pydict({"row_id": pa.array(row_id[k]), "tag": pa.array(tag[k]), "first": pa.array(first[k]), "last": pa.array(first[k] + more[k].astype(np.int32)), "shard": pa.nulls(len(k), pa.int32())})
+                low, high, d_low, d_high, row_id, tag, first, more = (x[sure == 0] for x in (low, high, d_low, d_high, row_id, tag, first, more))
+                if not len(low):
+                    continue
             anchor = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
             digest = d_low.astype(np.uint64) | (d_high.astype(np.uint64) << np.uint64(32))
             order = np.lexsort((first, row_id, digest, anchor))
