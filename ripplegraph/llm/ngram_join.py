@@ -33,6 +33,7 @@ are their own component.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -379,7 +380,7 @@ def _open_pairs(members: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """Stored (sig, shingles): the whole sets of the classes in the lists, packed."""
+    """Table (sig, shingles): the whole sets of the classes in the lists, packed."""
     spark = texts.sparkSession
     sigs = lists.where(F.size("sigs") > 1).select(F.explode("sigs").alias("sig")).union(lists.where("hot >= 0").select(F.explode("sigs")))
     wanted = stored(sigs.distinct().join(classes, "sig").select("sig", "rep_id"), "wanted")
@@ -419,7 +420,10 @@ def _sets(texts: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"sig": _signed(signatures(h, at)), "shingles": pa.array([packed(short[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
     found = texts.mapInArrow(sets, "sig long, shingles binary").join(wanted.select("sig").hint("shuffle_hash"), "sig", "left_semi")
-    return stored(found.dropDuplicates(["sig"]), "sets")
+    # Bucketed by class, so that no round of verification deals the sets anew.
+    n, name = partitions(spark), f"shingle_sets_{uuid.uuid4().hex}"
+    found.repartition(n, "sig").dropDuplicates(["sig"]).write.bucketBy(n, "sig").sortBy("sig").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -497,10 +501,13 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return stored(functools.reduce(DataFrame.union, found), "links")
 
     members = _members(lists, components(joined()))
+    before = None
     for number in range(ROUNDS):
         open_pairs, size = _still_open(members)
-        if open_pairs <= size:
+        # What is left is few, or for the most part pairs that don't link, which probing can't close.
+        if open_pairs <= size or before is not None and open_pairs > 0.7 * before:
             break
+        before = open_pairs
         settle(_probe_pairs(members, number).distinct())
         if found[-1].isEmpty():
             break
