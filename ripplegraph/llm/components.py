@@ -21,18 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("v"), F.col("m")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node that is reachable, for each node with a link to another one.
 
+    With most_rounds, the labels may be finer than the components, never coarser.
+
     ``edges`` has two columns of longs.  Every step is an aggregation with
     map-side combining and a join; nothing is gathered for one node.  The number
     of rounds grows with the logarithm of the longest chain.
     """
     edges = edges.toDF("a", "b").where("a <> b").distinct()
-    before = None
+    before, rounds = None, 0
     while True:
         edges = stored(_small_star(_large_star(edges)).where("a <> b").distinct(), "stars")
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long")), F.lit(0))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+        rounds += 1
+        if now == before or rounds == most_rounds:
+            both = edges.union(edges.select("b", "b")).toDF("node", "component")
+            return both.groupBy("node").agg(F.min("component").alias("component"))
         before = now

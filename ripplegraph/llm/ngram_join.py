@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,9 @@ WORDS = 5
 CELLS, CELL_BLOCK = 1 << 22, 1 << 15
 #: Longest list that is not salted; bits of the filter of classes that need verification.
 LIST_ROWS, FILTER_BITS = 1024, 1 << 25
-#: Rounds of probing before all open pairs are made, and partners that a member probes in a round and list.
-ROUNDS, PROBES = 8, 4
+#: Rounds of probing before all open pairs are made, and partners that a member probes in a list in the first
+#: round; four times as many in each later one, when few members are left outside.
+ROUNDS, PROBES = 3, 4
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -143,7 +145,7 @@ def _scan(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
         blocks = [k for k in range(CELLS // CELL_BLOCK) if cells[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].any()]
         for k in blocks:
             nothing = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_pydict({"row_id": nothing, "n": nothing, "sig": nothing, "block": pa.array([k], pa.int32()), "cells": pa.array([cells[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row_id": nothing, "n": nothing, "sig": nothing, "block": pa.array([k], pa.int32()), "cells": pa.array([zlib.compress(cells[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].tobytes(), 1)], pa.binary())})
 
     both = stored(texts.mapInArrow(work, "row_id long, n long, sig long, block int, cells binary"), "signatures")
 
@@ -151,7 +153,7 @@ def _scan(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint32)
+                x = np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
                 sums[k] = sums[k] + x if k in sums else x.astype(np.int64)
         levels = [np.ceil(4 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "levels": pa.array(levels, pa.binary())})
@@ -330,7 +332,8 @@ def _filters(n: str, place: str, n2: str, place2: str):
 
 
 def _probe_pairs(members: DataFrame, number: int) -> DataFrame:
-    """Pairs of each member outside its list's largest component with PROBES members of that one, by a hash of the round."""
+    """Pairs of each member outside its list's largest component with some members of that one, by a hash of the round."""
+    probes = PROBES * 4**number
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -340,8 +343,8 @@ def _probe_pairs(members: DataFrame, number: int) -> DataFrame:
                 kinds, back, counts = np.unique(c, return_inverse=True, return_counts=True)
                 inside = np.flatnonzero(back == counts.argmax())
                 outside = np.flatnonzero(back != counts.argmax())
-                for k in range(PROBES):
-                    h = mix(s[outside].view(np.uint64) ^ np.uint64((number * PROBES + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+                for k in range(probes):
+                    h = mix(s[outside].view(np.uint64) ^ np.uint64((number * 1009 + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
                     to = inside[(h % np.uint64(len(inside))).astype(np.int64)]
                     x, y = np.minimum(to, outside), np.maximum(to, outside)
                     ok = may_link(n[x], n[y], p[x], p[y])
@@ -350,9 +353,9 @@ def _probe_pairs(members: DataFrame, number: int) -> DataFrame:
 
     near = _mixed_lists(members).mapInArrow(probe, "a long, b long")
     hot = _mixed_hot(members)
-    other = F.struct(F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("place").alias("p2"))
-    chosen = hot.where("component = major").groupBy("hot").agg(F.array(*[F.min_by(other, F.xxhash64("sig", F.lit(number), F.lit(k))) for k in range(2 * PROBES)]).alias("others"))
-    met = hot.where("component <> major").join(chosen.select("hot", F.explode("others").alias("o")).select("hot", "o.*"), "hot").where(_filters("n", "place", "n2", "p2"))
+    turn = Window.partitionBy("hot").orderBy(F.xxhash64("sig", F.lit(number)), "sig")
+    inside = hot.where("component = major").select("hot", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.row_number().over(turn).alias("turn"))
+    met = hot.where("component <> major").join(inside.where(F.col("turn") <= 2 * probes), "hot").where(_filters("n", "place", "n2", "p2"))
     return near.union(met.select(F.least("sig", "s2"), F.greatest("sig", "s2")))
 
 
@@ -500,18 +503,15 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def joined() -> DataFrame:
         return stored(functools.reduce(DataFrame.union, found), "links")
 
-    members = _members(lists, components(joined()))
-    before = None
+    members = _members(lists, components(joined(), most_rounds=3))
     for number in range(ROUNDS):
         open_pairs, size = _still_open(members)
-        # What is left is few, or for the most part pairs that don't link, which probing can't close.
-        if open_pairs <= size or before is not None and open_pairs > 0.7 * before:
+        if open_pairs <= size:
             break
-        before = open_pairs
         settle(_probe_pairs(members, number).distinct())
         if found[-1].isEmpty():
             break
-        members = _members(lists, components(joined()))
+        members = _members(lists, components(joined(), most_rounds=3))
     settle(_open_pairs(members).distinct())
     links = joined()
     comps = components(links).withColumnRenamed("node", "sig")
