@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report, traverse
 from ..schema import EXACT
-from .graphs import fk_edges, fk_nodes, fk_sql, seed, table
+from .graphs import fk_edges, fk_nodes, fk_sql, seed, table, whole
 
 
 def _dependents(spark: SparkSession, d: str, weighed: bool = False) -> DataFrame:
@@ -68,9 +68,9 @@ def bucket_fold(spark, d):
     return traverse.dependents(folded, reached).select("bucket", "path", "confidence", "id")
 
 
-def cyclic_reach(spark, d):
+def cyclic_reach(spark, d, lines="l_quantity >= 40 AND l_linenumber = 1"):
     """Parts and suppliers that order lines join are linked both ways: a cyclic graph."""
-    pairs = table(spark, d, "lineitem").where("l_quantity >= 40 AND l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
+    pairs = table(spark, d, "lineitem").where(lines).select("l_partkey", "l_suppkey").distinct()
     part, supplier = F.concat(F.lit("part::"), F.col("l_partkey").cast("string")), F.concat(F.lit("supplier::"), F.col("l_suppkey").cast("string"))
     one = pairs.select(part.alias("from_id"), supplier.alias("to_id"), F.lit("Calls").alias("kind"), F.lit(EXACT).alias("confidence"))
     edges = one.unionByName(one.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "kind", "confidence"))
@@ -158,6 +158,22 @@ FROM b LEFT JOIN a USING (event) WHERE b.produced AND b.consumed AND NOT (coales
 """
 
 
+_FIRST_HALF, _SECOND_HALF = "ts < timestamp_ntz '2024-01-16 00:00:00'", "ts >= timestamp_ntz '2024-01-16 00:00:00'"
+
+
+def whole_cyclic_reach(spark, d):
+    return cyclic_reach(spark, d, "true")
+
+
+def whole_event_wiring(spark, d):
+    return report.event_wiring(*_bucket_graph(spark, d, "true"))
+
+
+def whole_event_loss(spark, d):
+    """The two halves of all events, not their first day and last hours."""
+    return report.event_losses(report.event_wiring(*_bucket_graph(spark, d, _FIRST_HALF)), report.event_wiring(*_bucket_graph(spark, d, _SECOND_HALF)))
+
+
 def file_seed_filter(spark, d):
     return traverse.file_seeds(fk_nodes(spark, d), "BUILDING")
 
@@ -187,7 +203,7 @@ def _with(body: str, weighed: bool = False) -> str:
     return f"WITH {fk_sql(weighed)}\n{body}"
 
 
-QUERIES = {f.__name__: f for f in (direct_dependents, indirect_dependents, weakest_link_confidence, heuristic_stop, explain_via, explain_off, min_confidence_filter, summary_by_file, affected_tests, report_counts, bucket_fold, cyclic_reach, implements_both_ways, contracts_touched, event_wiring, event_loss, file_seed_filter, diff_overlap)}
+QUERIES = {f.__name__: f for f in (direct_dependents, indirect_dependents, weakest_link_confidence, heuristic_stop, explain_via, explain_off, min_confidence_filter, summary_by_file, affected_tests, report_counts, bucket_fold, cyclic_reach, implements_both_ways, contracts_touched, event_wiring, event_loss, file_seed_filter, diff_overlap, whole_cyclic_reach, whole_event_wiring, whole_event_loss)}
 
 ORACLES = {
     "direct_dependents": _with("SELECT path, file, line, c confidence FROM d WHERE bucket = 'direct'"),
@@ -208,4 +224,7 @@ ORACLES = {
     "event_loss": LOSS_SQL,
     "file_seed_filter": f"WITH {fk_sql()} SELECT id FROM n WHERE file = 'BUILDING'",
     "diff_overlap": OVERLAP_SQL,
+    "whole_cyclic_reach": whole(CYCLIC_SQL, " WHERE l_quantity >= 40 AND l_linenumber = 1"),
+    "whole_event_wiring": _wiring_sql("true"),
+    "whole_event_loss": LOSS_SQL.replace(_wiring_sql(_BEFORE), _wiring_sql(_FIRST_HALF)).replace(_wiring_sql(_AFTER), _wiring_sql(_SECOND_HALF)),
 }
