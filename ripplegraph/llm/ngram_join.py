@@ -16,11 +16,16 @@ whole word sequence as one.  Two texts link when 100 * |intersection| >= 80 *
    are verified and their links joined to components.  While lists have many
    pairs across components, members outside a list's largest component probe a
    few members of it.  At last all members of different components form pairs.
-   So a group of near copies never makes all its pairs, yet every candidate pair
-   is either verified or known to be connected, and the components are exact.
+   So every candidate pair is either verified or known to be connected, and the
+   components are exact.
 5. Length and positional filters drop pairs before verification; a suffix filter
    (hash ranges of the sets) drops pairs before the exact intersection.  A pair
    is verified once, from the whole sets.
+6. Links lie within components.  In a component of which not all pairs are known
+   to link, all sets are compared, block by block: one product of two 0/1 matrices
+   gives a block pair's intersections.  So n_links is exact; the work grows with
+   the square of the component's number of distinct sets, what is moved with that
+   square divided by the block.
 
 Shingles and classes are told apart by 64-bit hashes, intersections by 48 bits of
 them.
@@ -54,6 +59,8 @@ LIST_ROWS, FILTER_BITS = 1024, 1 << 25
 #: Rounds of probing before all open pairs are made, and partners that a member probes in a list in the first
 #: round; four times as many in each later one, when few members are left outside.
 ROUNDS, PROBES = 3, 4
+#: Sets of a block and shingles (columns) of one matrix product when a component's links are counted.
+BLOCK, COLUMNS = 256, 4096
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -479,11 +486,75 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(x) + len(y) - both)
 
 
+def linked_sets(x: list, y: list) -> np.ndarray:
+    """Whether each set of x links with each set of y; sets are packed."""
+    xs, ys = [unpacked(v) for v in x], [unpacked(v) for v in y]
+    nx, ny = (np.array([len(v) for v in z], np.int64) for z in (xs, ys))
+    fx, fy = np.concatenate(xs), np.concatenate(ys)
+    common = np.intersect1d(fx, fy)
+    both = np.zeros((len(xs), len(ys)), np.float32)
+
+    def places(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, column) of the shingles that both sides have, by column."""
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = np.flatnonzero(common[at] == flat)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        return np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]
+
+    if len(common):
+        (ox, cx), (oy, cy) = places(fx, nx), places(fy, ny)
+        for c in range(0, len(common), COLUMNS):
+            width = min(COLUMNS, len(common) - c)
+            sides = []
+            for owner, column, rows in ((ox, cx, len(xs)), (oy, cy, len(ys))):
+                i, j = np.searchsorted(column, (c, c + width))
+                m = np.zeros((rows, width), np.float32)
+                m[owner[i:j], column[i:j] - c] = 1
+                sides.append(m)
+            both += sides[0] @ sides[1].T
+    both = both.astype(np.int64)
+    return 100 * both >= 80 * (nx[:, None] + ny[None, :] - both)
+
+
+def _degrees(links: DataFrame, comps: DataFrame, whole: DataFrame) -> DataFrame:
+    """(sig, n_links): how many other sets each set of ``comps`` (sig, component) links with; ``links`` may be some of the links only."""
+    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    known = links.join(comps.withColumnRenamed("sig", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("known"))
+    sizes = stored(sizes.join(known, "component"), "sizes")
+    full = F.col("known") * 2 == F.col("m") * (F.col("m") - 1)
+    closed = comps.join(sizes.where(full), "component").select("sig", (F.col("m") - 1).alias("n_links"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    members = comps.join(sizes.where(~full).select("component", blocks.alias("blocks")), "component")
+    members = members.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.join(whole, "sig").groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("sig", "shingles")).alias("x"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                x, y = x.values, y.values if y.is_valid else None
+                sides = [x] if y is None else [x, y]
+                sets = [[v.as_buffer() for v in z.field("shingles")] for z in sides]
+                ok = linked_sets(sets[0], sets[-1])
+                n = [ok.sum(1) - 1] if y is None else [ok.sum(1), ok.sum(0)]
+                yield pa.RecordBatch.from_pydict({"sig": pa.concat_arrays([z.field("sig") for z in sides]), "n": pa.array(np.concatenate(n).astype(np.int64))})
+
+    nothing = F.lit(None).cast("array<struct<sig: bigint, shingles: binary>>")
+    within = gathered(members.where("blocks = 1")).select("x", nothing.alias("y")).mapInArrow(count, "sig long, n long")
+    many = stored(gathered(members.where("blocks > 1")), "blocks")
+    # The narrow numbers of block pairs first, then the sets of either side.
+    pairs = many.select("component", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.join(many.select("component", "block", "x"), ["component", "block"]).join(many.select("component", F.col("block").alias("other"), F.col("x").alias("y")), ["component", "other"])
+    between = pairs.select("x", F.when(F.col("block") < F.col("other"), F.col("y")).alias("y")).mapInArrow(count, "sig long, n long")
+    return closed.union(within.union(between).groupBy("sig").agg(F.sum("n").alias("n_links")))
+
+
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links) for each row of df.
 
-    n_links counts the classes (texts with another set) that verification linked
-    with the row's class; known members of one component are not all compared.
+    n_links counts the classes (texts with another set) that link with the row's
+    class.
     """
     texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("row_text"))
     rows, sketch = _scan(texts)
@@ -514,10 +585,10 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members = _members(lists, components(joined(), most_rounds=3))
     settle(_open_pairs(members).distinct())
     links = joined()
-    comps = components(links).withColumnRenamed("node", "sig")
+    comps = stored(components(links).withColumnRenamed("node", "sig"), "components")
     labelled = classes.join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = stored(labelled.groupBy("component").agg(F.min("rep_id").alias("component_id")), "least")
-    degree = links.select("a").union(links.select("b")).toDF("sig").groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = stored(_degrees(links, comps, whole), "degrees")
     per_class = stored(labelled.join(least, "component").join(degree, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "per-class")
     # Rows without shingles have no class: they must not meet in one key.
     some = rows.where("n > 0").join(per_class, "sig").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")

@@ -96,3 +96,26 @@ def test_packed_sets_round_trip():
 
     x = np.array([0, 1, 2**32, 2**48 - 1], np.uint64)
     assert (ngram_join.unpacked(ngram_join.packed(x)) == x).all()
+
+
+def brute_links(rows):
+    """{id: number of other distinct sets that link with its set}."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+    kinds = list(set(sets.values()) - {frozenset()})
+    n = {s: sum(s is not o and 100 * len(s & o) >= 80 * len(s | o) for o in kinds) for s in kinds}
+    return {i: n.get(s, 0) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("list_rows", "block", "columns"), [(1024, 256, 4096), (4, 7, 50)])
+def test_links_of_near_copies_are_all_counted(spark, monkeypatch, list_rows, block, columns):
+    for name, value in (("LIST_ROWS", list_rows), ("BLOCK", block), ("COLUMNS", columns)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(3)
+    texts = [t for _ in range(3) for t in near_copies(rng)] + near_copies(rng, copies=2, edits=2) + ["a b c", "A b c", "", None]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(5)
+    want = brute_links(enumerate(texts))
+    assert max(want.values()) > 5
+    assert {r.doc_id: r.n_links for r in ngram_join.link_components(df).collect()} == want
