@@ -50,19 +50,34 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _with_ids(docs, linked.where("doc_id <=> component_id"))
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with their slot and position in the mix, one place for each row."""
+    places = stored(source_mixing.mix(docs).select(F.col("doc_id").alias("placed_id"), F.col("source").alias("placed_source"), "slot", "position"), "places")
+    same = F.col("doc_id").eqNullSafe(F.col("placed_id")) & F.col("source").eqNullSafe(F.col("placed_source"))
+    if not places.groupBy("placed_id", "placed_source").count().where("count > 1").isEmpty():
+        # Rows repeated with an id and source share out that id's places.
+        docs = docs.withColumn("copy_number", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.xxhash64("text"), "text")))
+        places = places.withColumn("place_number", F.row_number().over(Window.partitionBy("placed_id", "placed_source").orderBy("position")))
+        same &= F.col("copy_number") == F.col("place_number")
+    return docs.join(places.hint("shuffle_hash"), same)
+
+
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same rows, in files and rows ordered by their place in the mix."""
-    places = source_mixing.mix(docs).groupBy("doc_id").agg(F.min("position").alias("position")).withColumnRenamed("doc_id", "placed_id")
-    placed = docs.join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("placed_id")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "position").sortWithinPartitions("position").select(*docs.columns)
+    return _placed(docs).repartitionByRange(parts, "position").sortWithinPartitions("position").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256), in the order of docs."""
+    """(doc_id, n_tokens, ids, decoded_sha256, slot, position): the mix is the order of position.
+
+    Files that are read again come in any order, so the places are worked out anew:
+    the same ids and sources have the same places.
+    """
     small_batches(spark)
-    coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    keyed = _placed(docs).select(F.struct("doc_id", "slot", "position").alias("row_key"), "text")
+    coded = bpe.round_trip(keyed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, id_col="row_key")
+    return coded.select("row_key.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "row_key.slot", "row_key.position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

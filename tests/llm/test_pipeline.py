@@ -61,3 +61,17 @@ def test_ids_decode_to_the_texts(stages):
     texts = {r.doc_id: r.text or "" for r in stages[0][4]}
     assert {r.doc_id: r.decoded_sha256 for r in stages[0][5]} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
     assert all(len(r.ids) == r.n_tokens for r in stages[0][5])
+
+
+def test_the_order_of_the_mix_survives_the_reread(spark):
+    sources = ["a"] * 700 + ["b"] * 200 + [None] * 100
+    rows = [(i, f"text {i}", "en", x, 1) for i, x in enumerate(sources)]
+    rows += [(7, "again", "en", "a", 1), (7, "again", "en", "b", 1), (None, "none", "en", "a", 1), (None, "no", "en", "a", 1)]
+    docs = corpus_pipeline.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "docs")
+    mixed = corpus_pipeline.interleave_sources(spark, docs, SMALL)
+    want = [(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect()]
+    # Another order of files and rows on the way.
+    again = corpus_pipeline.stored(mixed.orderBy("text").repartition(5), "mix")
+    got = sorted(corpus_pipeline.stored(corpus_pipeline.encode(spark, again, SMALL), "encode").collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(rows)))
+    assert [(r.doc_id, r.decoded_sha256) for r in got] == want
