@@ -36,14 +36,16 @@ from .textbuf import SpanHash, mix, row_slices, text_buffer
 MOST_LABELLED, MOST_FEATURES, LEAST_ROWS = 12_000, 1_000, 4
 #: Signs and the letters that they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
-#: Costs in nats: of a look-alike, of leaving a sign as it is, of dropping a separator, of a repeated letter.
-LOOK_COST, KEEP_COST, JOIN_COST, REPEAT_COST = 1.0, 6.0, 0.5, 0.7
+#: Costs in nats: of a look-alike, of leaving a sign as it is, of dropping a separator, of keeping one, of a repeated letter.
+LOOK_COST, KEEP_COST, JOIN_COST, SPLIT_COST, REPEAT_COST = 1.0, 6.0, 0.5, 2.0, 0.7
+#: Places of a token after which the best path so far is settled; tokens up to CACHED are remembered.
+SETTLE, CACHED = 256, 64
 LETTERS = 28
 _SIGNS = re.escape("".join(LOOKALIKES))
 SPACED = r"(?<![^\s])[^\s][ ._*\-](?:[^\s][ ._*\-])+[^\s](?![^\s])"
 _L, _S = r"[^\W\d_]", f"[{_SIGNS}]"
-#: A spaced-out word, or from the beginning of a word: signs between letters, signs in front, a letter three times or more.
-_TRACE = re.compile(rf"{SPACED}|(?<![^\W_])(?:{_L}++{_S}+(?={_L})|(?<!\S){_S}+(?={_L})|{_L}*?({_L})\1\1+)(?:{_L}|{_S}+(?={_L}))*+(?:[$@]{{1,2}}(?![$@\w]))?")
+#: A spaced-out word, or from the beginning of a word: signs between letters, signs in front, a letter three times or more; then signs other than punctuation may end it.
+_TRACE = re.compile(rf"{SPACED}|(?<![^\W_])(?:{_L}++{_S}+(?={_L})|(?<!\S){_S}+(?={_L})|{_L}*?({_L})\1\1+)(?:{_L}|{_S}+(?={_L}))*+(?:[$@€0134578]+(?![$@€\w]))?")
 _MAY = rf"(?:^|\s)\S[ ._*\-]\S[ ._*\-]\S|\pL[{_SIGNS}]+\pL|(?:^|\s)[{_SIGNS}]+\pL|" + "|".join(f"(?i:{c * 3})" for c in "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -98,48 +100,60 @@ class Channel:
         self.restored = functools.lru_cache(maxsize=1 << 16)(self._restored)
 
     def lattice(self, token: str) -> list[list[tuple[int, str, float]]]:
-        """For each place of the token the edges (places to go on, letters, cost)."""
-        n, spaced = len(token), re.fullmatch(SPACED, token) is not None
+        """For each place of the token the edges (places to go on, letters, cost); none inside a run, which is one edge."""
+        spaced = re.fullmatch(SPACED, token) is not None
         edges: list[list[tuple[int, str, float]]] = []
-        for i, c in enumerate(token):
+        i, n = 0, len(token)
+        while i < n:
+            c, run = token[i], 1
             if spaced and i % 2:
-                edges.append([(1, "", JOIN_COST)])
+                edges.append([(1, "", JOIN_COST), (1, c, SPLIT_COST)])
+                i += 1
                 continue
+            while not spaced and i + run < n and token[i + run] == c:
+                run += 1
             if c.isalpha():
-                run = 1
-                while not spaced and i + run < n and token[i + run] == c:
-                    run += 1
-                out = [(1, c, 0.0)] if run < 3 else [(run, c, REPEAT_COST), (run, c + c, REPEAT_COST)]
+                if run < 3:
+                    edges += [[(1, c, 0.0)]] * run
+                else:
+                    edges += [[(run, c, REPEAT_COST), (run, c + c, REPEAT_COST)]] + [[]] * (run - 1)
             else:
-                run = 1
-                while not spaced and i + run < n and token[i + run] == c:
-                    run += 1
                 out = [(run, x, LOOK_COST) for x in LOOKALIKES.get(c, "")]
                 out += [(run, x + x, LOOK_COST) for x in LOOKALIKES.get(c, "") if run > 1]
-                out.append((run, c * run, KEEP_COST))
-            edges.append(out)
+                edges += [[*out, (run, c * run, KEEP_COST)]] + [[]] * (run - 1)
+            i += run
         return edges
 
     def _restored(self, token: str) -> str:
         edges, n, cost = self.lattice(token), len(token), self.cost
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(n + 1)]
-        best[0][(0, 0)] = (0.0, "")
+        # Each place's states; a path is (cost, text of this stretch), settled stretches are in done.
+        best: dict[int, dict[tuple[int, int], tuple[float, str]]] = {0: {(0, 0): (0.0, "")}}
+        done: list[str] = []
+        settle = SETTLE
         for i in range(n):
-            for (a, b), (sofar, text) in best[i].items():
+            states = best.pop(i, None)
+            if not states:
+                continue
+            if i >= settle and len(best) == 0:
+                (a, b), (_, text) = min(states.items(), key=lambda x: x[1])
+                done.append(text)
+                states, settle = {(a, b): (0.0, "")}, i + SETTLE
+            for (a, b), (sofar, text) in states.items():
                 for step, letters, price in edges[i]:
                     x, y, total = a, b, sofar + price
                     for c in letters:
                         z = _code(c)
                         total += cost[x][y][z]
                         x, y = y, z
-                    old = best[i + step].get((x, y))
+                    there = best.setdefault(i + step, {})
+                    old = there.get((x, y))
                     if old is None or (total, text + letters) < old:
-                        best[i + step][(x, y)] = (total, text + letters)
-        return min((total + cost[a][b][0], text) for (a, b), (total, text) in best[n].items())[1]
+                        there[(x, y)] = (total, text + letters)
+        return "".join(done) + min((total + cost[a][b][0], text) for (a, b), (total, text) in best[n].items())[1]
 
     def restore(self, text: str) -> str:
-        """The text with every traced token decoded; tokens over 64 characters are no words and stay."""
-        return _TRACE.sub(lambda m: self.restored(m[0].lower()) if len(m[0]) <= 64 else m[0], text)
+        """The text with every traced token decoded, however long; only short ones are worth remembering."""
+        return _TRACE.sub(lambda m: (self.restored if len(m[0]) <= CACHED else self._restored)(m[0].lower()), text)
 
     def restore_all(self, col: pa.Array) -> pa.Array:
         may = pc.fill_null(pc.match_substring_regex(col, _MAY), False)

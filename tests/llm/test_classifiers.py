@@ -88,3 +88,13 @@ def test_restores_traced_words_only(channel):
     assert channel.restore("an 1d10t and m.o.r.o.n hit") == "an idiot and moron hit"
     for clean in ("hello, world! 2024 a b", "x1 = y2; 100% ok", "", "the the"):
         assert channel.restore(clean) == clean
+
+
+def test_restores_long_tokens_ends_and_several_words(channel):
+    assert channel.restore("an assh0l3, 1di07 and stup1d 1d107!") == "an asshole, idiot and stupid idiot!"
+    assert len(channel.restore("stu" + "u" * 70 + "pid")) < 10
+    assert channel.restore("st" + "u" * 5000 + "pid idiot") == "stupid idiot"
+    assert channel.restore("t h e i d i o t") == "the idiot"
+    restored = channel.restore(" ".join("theidiotandthemoronhitastupididiot" * 40))
+    assert restored.replace(" ", "") == "theidiotandthemoronhitastupididiot" * 40
+    assert restored.split().count("idiot") > 40
