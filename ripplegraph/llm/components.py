@@ -5,38 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("v", "u")
-    least = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")), "large")
+    least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
     return both.where("u > v").join(least, "v").select(F.col("u").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-    least = stored(down.groupBy("v").agg(F.min("u").alias("m")), "small")
+    least = down.groupBy("v").agg(F.min("u").alias("m"))
     moved = down.join(least, "v").select(F.col("u").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("v"), F.col("m")))
 
 
-def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(node, component): the smallest node that is reachable, for each node with a link to another one.
-
-    With most_rounds, the labels may be finer than the components, never coarser.
+def labels(edges: DataFrame, most_rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """Stored (node, component), and whether the labels are final: with most_rounds they may be finer than the components, never coarser.
 
     ``edges`` has two columns of longs.  Every step is an aggregation with
-    map-side combining and a join; nothing is gathered for one node.  The number
-    of rounds grows with the logarithm of the longest chain.
+    map-side combining and a join; nothing is gathered for one node.  A round is
+    one job whose result is written; the number of rounds grows with the logarithm
+    of the longest chain.
     """
-    edges = edges.toDF("a", "b").where("a <> b").distinct()
+    spark = edges.sparkSession
+    edges = edges.toDF("a", "b").where("a <> b")
     before, rounds = None, 0
     while True:
-        edges = stored(_small_star(_large_star(edges)).where("a <> b").distinct(), "stars")
+        old, edges = edges, stored(_small_star(_large_star(edges)).where("a <> b").distinct(), "stars")
+        if rounds:
+            discard(spark, old)
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long")), F.lit(0))).first()
         rounds += 1
-        if now == before or rounds == most_rounds:
+        if now == before or now[0] == 0 or rounds == most_rounds:
             both = edges.union(edges.select("b", "b")).toDF("node", "component")
-            return both.groupBy("node").agg(F.min("component").alias("component"))
+            out = stored(both.groupBy("node").agg(F.min("component").alias("component")), "components")
+            discard(spark, edges)
+            return out, now == before or now[0] == 0
         before = now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that is reachable, for each node with a link to another one."""
+    return labels(edges)[0]

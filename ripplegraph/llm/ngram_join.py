@@ -6,8 +6,8 @@ whole word sequence as one.  Two texts link when 100 * |intersection| >= 80 *
 |union|; texts without words link with nothing.
 
 1. Texts with one set are one class (any number of copies costs one class).
-2. A count sketch of fixed size over all shingles orders them, rarest first (ties
-   by hash).  A class's prefix are its first n - ceil(0.8 n) + 1 shingles; linked
+2. A count sketch over all shingles, of as many cells as the input's size asks for
+   (4 M to 32 M, one byte each), orders them, rarest first (ties by hash).  A class's prefix are its first n - ceil(0.8 n) + 1 shingles; linked
    classes share one in their prefixes.
 3. Prefix shingles meet in buckets, packed.  A shingle so frequent that its list
    could be large (by the sketch) is salted into lists of bounded size.
@@ -18,9 +18,11 @@ whole word sequence as one.  Two texts link when 100 * |intersection| >= 80 *
    few members of it.  At last all members of different components form pairs.
    So every candidate pair is either verified or known to be connected, and the
    components are exact.
-5. Length and positional filters drop pairs before verification; a suffix filter
-   (hash ranges of the sets) drops pairs before the exact intersection.  A pair
-   is verified once, from the whole sets.
+5. Length and positional filters drop pairs as they form.  Each class has a
+   profile: how many of its shingles lie in each of about n / 3 hash ranges.  The
+   suffix filter bounds a pair's intersection by the lesser counts of the two
+   profiles, before any whole set moves; only sets of pairs that pass it are
+   gathered (once), and such a pair is verified once, from its whole sets.
 6. Links lie within components.  In a component of which not all pairs are known
    to link, all sets are compared, block by block: one product of two 0/1 matrices
    gives a block pair's intersections.  So n_links is exact; the work grows with
@@ -47,13 +49,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import partitions, stored
+from .components import labels
+from .shared import discard, partitions, release, stored
 from .textbuf import SpanHash, mix, row_slices, text_buffer
 
 WORDS = 5
-#: Cells of the count sketch and those of one of its blocks; what is broadcast is one byte for each cell.
-CELLS, CELL_BLOCK = 1 << 22, 1 << 15
+#: Least and most bits of a cell's number in the count sketch, input bytes for each cell, and cells of a block.
+CELL_BITS, BYTES_A_CELL, CELL_BLOCK = (22, 25), 100, 1 << 15
 #: Longest list that is not salted; bits of the filter of classes that need verification.
 LIST_ROWS, FILTER_BITS = 1024, 1 << 25
 #: Rounds of probing before all open pairs are made, and partners that a member probes in a list in the first
@@ -125,8 +127,36 @@ def may_link(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray) ->
     return (5 * na >= 4 * nb) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= -(-4 * (na + nb) // 9))
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(42)).astype(np.int64)
+def _cell(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _cell_bits(texts: DataFrame) -> int:
+    """Bits of a cell's number for the planner's estimate of the input's bytes."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((size // BYTES_A_CELL).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+
+
+def profiles(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each sorted set, how many of its hashes lie in each of 2**r equal ranges (two to four a range); 255: so many or more."""
+    n = np.diff(at)
+    bits = np.maximum(np.frexp(np.maximum(n, 1))[1].astype(np.int64) - 2, 0)
+    offs = np.concatenate([[0], np.cumsum(np.int64(1) << bits)])
+    own = np.repeat(np.arange(len(n)), n)
+    # Two shifts, as one by 64 has no defined result.
+    counts = np.bincount(offs[own] + ((h >> np.uint64(1)) >> (np.uint64(63) - bits[own].astype(np.uint64))).astype(np.int64), minlength=int(offs[-1]))
+    data = np.minimum(counts, 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data)])
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """A bound, from their profiles, on the hashes that two sets can share."""
+    x, y = (np.where(z == 255, 1 << 40, z.astype(np.int64)) for z in (x, y))
+    if len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x.reshape(len(y), -1).sum(1)
+    return int(np.minimum(x, y).sum())
 
 
 def _each_slice(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -140,21 +170,23 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _scan(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Stored (row_id, n, sig) of all rows, and the sketch as a byte for each cell: the count's rank on a log scale."""
+    """Stored (row_id, n, sig, profile) of all rows with other rows for the sketch, and the sketch as a byte for each cell: the count's rank on a log scale."""
+    bits = _cell_bits(texts)
+    n_cells = 1 << bits
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(n_cells, np.uint32)
         for b in batches:
             for i, j, h, at in _each_slice(b.column(1)):
-                np.add.at(cells, _cell(h), np.uint32(1))
+                np.add.at(cells, _cell(h, bits), np.uint32(1))
                 rows = j - i
-                yield pa.RecordBatch.from_pydict({"row_id": b.column(0).slice(i, rows), "n": pa.array(np.diff(at)), "sig": _signed(signatures(h, at)), "block": pa.nulls(rows, pa.int32()), "cells": pa.nulls(rows, pa.binary())})
-        blocks = [k for k in range(CELLS // CELL_BLOCK) if cells[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].any()]
+                yield pa.RecordBatch.from_pydict({"row_id": b.column(0).slice(i, rows), "n": pa.array(np.diff(at)), "sig": _signed(signatures(h, at)), "profile": profiles(h, at), "block": pa.nulls(rows, pa.int32()), "cells": pa.nulls(rows, pa.binary())})
+        blocks = [k for k in range(n_cells // CELL_BLOCK) if cells[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].any()]
         for k in blocks:
             nothing = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_pydict({"row_id": nothing, "n": nothing, "sig": nothing, "block": pa.array([k], pa.int32()), "cells": pa.array([zlib.compress(cells[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].tobytes(), 1)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row_id": nothing, "n": nothing, "sig": nothing, "profile": pa.nulls(1, pa.binary()), "block": pa.array([k], pa.int32()), "cells": pa.array([zlib.compress(cells[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].tobytes(), 1)], pa.binary())})
 
-    both = stored(texts.mapInArrow(work, "row_id long, n long, sig long, block int, cells binary"), "signatures")
+    both = stored(texts.mapInArrow(work, "row_id long, n long, sig long, profile binary, block int, cells binary"), "signatures")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -166,10 +198,10 @@ def _scan(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "levels": pa.array(levels, pa.binary())})
 
     summed = both.where("block IS NOT NULL").select("block", "cells").repartition(partitions(texts.sparkSession), "block").mapInArrow(total, "block int, levels binary")
-    sketch = np.zeros(CELLS, np.uint8)
-    for r in summed.collect():  # CELLS bytes at most, whatever the input
+    sketch = np.zeros(n_cells, np.uint8)
+    for r in summed.collect():  # 2**25 bytes at most, whatever the input
         sketch[r.block * CELL_BLOCK : (r.block + 1) * CELL_BLOCK] = np.frombuffer(r.levels, np.uint8)
-    return both.where("block IS NULL").select("row_id", "n", "sig"), sketch
+    return both, sketch
 
 
 def _lists(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -177,6 +209,9 @@ def _lists(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
     spark = texts.sparkSession
     buckets = 8 * partitions(spark)
     levels = spark.sparkContext.broadcast(sketch)
+    bits = len(sketch).bit_length() - 1
+    # What a cell usually holds besides a shingle of its own makes no shingle frequent.
+    usual = 1.5 * float(np.mean(2.0 ** (sketch / 4.0) - 1))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.uint64)  # classes that this task sent lately
@@ -191,13 +226,13 @@ def _lists(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
                 own = np.repeat(np.arange(len(n)), n)
                 keep = fresh[own]
                 h, own = h[keep], own[keep]
-                level = levels.value[_cell(h)]
+                level = levels.value[_cell(h, bits)]
                 order = np.lexsort((h, level, own))
                 h, own, level = h[order], own[order], level[order]
                 place = np.arange(len(h)) - np.searchsorted(own, own)
                 keep = place < prefix_sizes(n)[own]
                 h, own, level, place = h[keep], own[keep], level[keep], place[keep]
-                salts = np.maximum(1, np.ceil(2.0 ** (level / 4.0) / LIST_ROWS)).astype(np.uint64)
+                salts = np.maximum(1, np.ceil((2.0 ** (level / 4.0) - usual) / LIST_ROWS)).astype(np.uint64)
                 bucket = (mix(h + (sig[own] >> np.uint64(20)) % salts * _SEEDS[1]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 h, own, place, bucket, hot = h[order], own[order], place[order], bucket[order], salts[order] > 1
@@ -262,8 +297,13 @@ def _lists(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
             part = keys[at : at + 1000]
             yield pa.RecordBatch.from_pydict({"list_id": pa.array([k[0] for k in part], pa.int64()), "hot": pa.array([k[1] for k in part], pa.int64()), "sigs": pa.array([lists[k][0] for k in part], pa.list_(pa.int64())), "ns": pa.array([lists[k][1] for k in part], pa.list_(pa.int32())), "places": pa.array([lists[k][2] for k in part], pa.list_(pa.int32()))})
 
-    keyed = stored(met, "met").select(F.xxhash64("hot", "sigs").alias("list_id"), "hot", "sigs", "ns", "places")
-    return stored(keyed.repartition(partitions(spark), "list_id").mapInArrow(merge, "list_id long, hot long, sigs array<long>, ns array<int>, places array<int>"), "lists")
+    # Written once before the merge, which lets the larger shuffle of the prefixes go.
+    met = stored(met, "met")
+    release(spark)
+    keyed = met.select(F.xxhash64("hot", "sigs").alias("list_id"), "hot", "sigs", "ns", "places")
+    lists = stored(keyed.repartition(partitions(spark), "list_id").mapInArrow(merge, "list_id long, hot long, sigs array<long>, ns array<int>, places array<int>"), "lists")
+    discard(spark, met)
+    return lists
 
 
 def _pivots(n: np.ndarray) -> np.ndarray:
@@ -389,71 +429,123 @@ def _open_pairs(members: DataFrame) -> DataFrame:
     return near.union(met.select(F.least("sig", "s2"), F.greatest("sig", "s2")))
 
 
-def _sets(texts: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """Table (sig, shingles): the whole sets of the classes in the lists, packed."""
-    spark = texts.sparkSession
-    sigs = lists.where(F.size("sigs") > 1).select(F.explode("sigs").alias("sig")).union(lists.where("hot >= 0").select(F.explode("sigs")))
-    wanted = stored(sigs.distinct().join(classes, "sig").select("sig", "rep_id"), "wanted")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            bits[_bit(b.column(0).drop_null().to_numpy())] = True
-        words = np.packbits(bits).reshape(64, -1)
-        full = np.flatnonzero(words.any(1))
-        yield pa.RecordBatch.from_pydict({"k": pa.array(full.astype(np.int32)), "bits": pa.array([words[k].tobytes() for k in full], pa.binary())})
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint8)
-                sums[k] = sums[k] | x if k in sums else x
-        yield pa.RecordBatch.from_pydict({"k": pa.array(list(sums), pa.int32()), "bits": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
-
-    # A filter of fixed size keeps most texts that no pair needs out of the shuffle; the join below is exact.
-    words = np.zeros((64, FILTER_BITS // 512), np.uint8)
-    for r in wanted.select("rep_id").mapInArrow(place, "k int, bits binary").repartition(partitions(spark), "k").mapInArrow(either, "k int, bits binary").collect():
-        words[r.k] = np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(words.reshape(-1))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0)
-            bit = _bit(ids.fill_null(0).to_numpy())
-            hit = (shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
-            keep = np.flatnonzero((hit == 1) | ~ids.is_valid().to_numpy(False))
-            if not len(keep):
-                continue
-            for _, _, h, at in _each_slice(b.column(1).take(pa.array(keep))):
-                short = (h >> np.uint64(16)).astype(np.uint64)
-                yield pa.RecordBatch.from_pydict({"sig": _signed(signatures(h, at)), "shingles": pa.array([packed(short[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())})
-
-    found = texts.mapInArrow(sets, "sig long, shingles binary").join(wanted.select("sig").hint("shuffle_hash"), "sig", "left_semi")
-    # Bucketed by class, so that no round of verification deals the sets anew.
-    n, name = partitions(spark), f"shingle_sets_{uuid.uuid4().hex}"
-    found.repartition(n, "sig").dropDuplicates(["sig"]).write.bucketBy(n, "sig").sortBy("sig").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Stored pairs (a, b) of classes whose whole sets link; ``pairs`` are distinct."""
-    left = pairs.join(whole.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(whole.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            last, x = None, None
-            ok = []
-            for u, v in zip(b.column(2), b.column(3), strict=True):
-                y = unpacked(v.as_buffer())
-                if u != last:
-                    last, x = u, unpacked(u.as_buffer())
-                ok.append(linked(x, y))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)})
-
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+class Verifier:
+    """Whole sets by class, gathered as pairs ask for them, and the verification of pairs."""
+
+    def __init__(self, texts: DataFrame, rows: DataFrame):
+        """``rows`` are those of _scan."""
+        self.spark, self.texts = texts.sparkSession, texts
+        self.parts, run = partitions(self.spark), uuid.uuid4().hex
+        self.classes_table, self.sets_table = f"shingle_classes_{run}", f"shingle_sets_{run}"
+        classes = rows.where("n > 0").groupBy("sig").agg(F.min("row_id").alias("rep_id"), F.min("n").cast("int").alias("n"), F.min("profile").alias("profile"))
+        self._bucketed(classes.repartition(self.parts, "sig"), self.classes_table)
+        self._bucketed(self.spark.createDataFrame([], "sig long, shingles binary"), self.sets_table)
+
+    def _bucketed(self, df: DataFrame, name: str) -> None:
+        """Bucketed by class, so that no round of verification deals the table anew."""
+        df.write.mode("append").bucketBy(self.parts, "sig").sortBy("sig").format("parquet").saveAsTable(name)
+
+    @property
+    def classes(self) -> DataFrame:
+        """(sig, rep_id, n, profile)"""
+        return self.spark.table(self.classes_table)
+
+    @property
+    def whole(self) -> DataFrame:
+        """(sig, shingles): the packed sets gathered so far."""
+        return self.spark.table(self.sets_table)
+
+    def _may_link(self, pairs: DataFrame) -> DataFrame:
+        """Stored pairs (a, b) that the suffix filter lets pass."""
+        side = lambda c, n, p: self.classes.select(F.col("sig").alias(c), F.col("n").alias(n), F.col("profile").alias(p))
+        both = pairs.join(side("a", "n", "p"), "a").join(side("b", "n2", "p2"), "b").where(5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2"))
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                need = -(-4 * (b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()) // 9)
+                x, y = (([np.frombuffer(v.as_buffer(), np.uint8) for v in b.column(k)]) for k in (4, 5))
+                keep = pa.array([most_common(u, v) >= n for u, v, n in zip(x, y, need.tolist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)})
+
+        return stored(both.select("a", "b", "n", "n2", "p", "p2").mapInArrow(bound, "a long, b long"), "candidates")
+
+    def _gather(self, pairs: DataFrame) -> None:
+        """Add the sets of the pairs' classes that the table lacks."""
+        spark, n = self.spark, self.parts
+        sigs = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(self.whole.select("sig"), "sig", "left_anti")
+        wanted = stored(sigs.join(self.classes.select("sig", "rep_id"), "sig"), "wanted")
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(FILTER_BITS, bool)
+            for b in batches:
+                bits[_bit(b.column(0).drop_null().to_numpy())] = True
+            words = np.packbits(bits).reshape(64, -1)
+            full = np.flatnonzero(words.any(1))
+            yield pa.RecordBatch.from_pydict({"k": pa.array(full.astype(np.int32)), "bits": pa.array([words[k].tobytes() for k in full], pa.binary())})
+
+        def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    x = np.frombuffer(x.as_buffer(), np.uint8)
+                    sums[k] = sums[k] | x if k in sums else x
+            yield pa.RecordBatch.from_pydict({"k": pa.array(list(sums), pa.int32()), "bits": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+        if wanted.isEmpty():
+            discard(spark, wanted)
+            return
+        # A filter of fixed size keeps most texts that no pair needs out of the shuffle; the join below is exact.
+        words = np.zeros((64, FILTER_BITS // 512), np.uint8)
+        for r in wanted.select("rep_id").mapInArrow(place, "k int, bits binary").repartition(n, "k").mapInArrow(either, "k int, bits binary").collect():
+            words[r.k] = np.frombuffer(r.bits, np.uint8)
+        shared = spark.sparkContext.broadcast(words.reshape(-1))
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(1 << 16, np.uint64)  # classes that this task sent lately
+            for b in batches:
+                ids = b.column(0)
+                bit = _bit(ids.fill_null(0).to_numpy())
+                hit = (shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+                keep = np.flatnonzero((hit == 1) | ~ids.is_valid().to_numpy(False))
+                if not len(keep):
+                    continue
+                for _, _, h, at in _each_slice(b.column(1).take(pa.array(keep))):
+                    short, sig = h >> np.uint64(16), signatures(h, at)
+                    fresh = np.zeros(len(sig), bool)
+                    fresh[np.unique(sig, return_index=True)[1]] = True
+                    fresh &= (sig != 0) & (seen[(sig & np.uint64(0xFFFF)).astype(np.int64)] != sig)
+                    use = np.flatnonzero(fresh)
+                    seen[(sig[use] & np.uint64(0xFFFF)).astype(np.int64)] = sig[use]
+                    yield pa.RecordBatch.from_pydict({"sig": _signed(sig[use]), "shingles": pa.array([packed(short[at[k] : at[k + 1]]) for k in use.tolist()], pa.binary())})
+
+        found = self.texts.mapInArrow(sets, "sig long, shingles binary").repartition(n, "sig")
+        found = found.join(wanted.select("sig").hint("shuffle_hash"), "sig", "left_semi").dropDuplicates(["sig"])
+        self._bucketed(found, self.sets_table)
+        discard(spark, wanted)
+        release(spark)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Stored pairs (a, b) of classes whose whole sets link; ``pairs`` are distinct."""
+        pairs = self._may_link(pairs)
+        self._gather(pairs)
+        left = pairs.join(self.whole.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
+        both = left.join(self.whole.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                last, x = None, None
+                ok = []
+                for u, v in zip(b.column(2), b.column(3), strict=True):
+                    y = unpacked(v.as_buffer())
+                    if u != last:
+                        last, x = u, unpacked(u.as_buffer())
+                    ok.append(linked(x, y))
+                keep = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)})
+
+        out = stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+        discard(self.spark, pairs)
+        return out
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -471,15 +563,8 @@ def unpacked(data: pa.Buffer | bytes) -> np.ndarray:
     return np.frombuffer(data[: 4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(data[4 * n :], np.uint16).astype(np.uint64) << np.uint64(32))
 
 
-_RANGES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(44)).astype(np.uint64)
-
-
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether sorted sets link: suffix filter over hash ranges, then the exact intersection."""
-    need = -(-4 * (len(x) + len(y)) // 9)
-    bound = np.minimum(np.diff(np.searchsorted(x, _RANGES), prepend=0, append=len(x)), np.diff(np.searchsorted(y, _RANGES), prepend=0, append=len(y))).sum()
-    if bound < need:
-        return False
+    """Whether sorted sets link, by their exact intersection."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
@@ -517,7 +602,7 @@ def linked_sets(x: list, y: list) -> np.ndarray:
 
 
 def _degrees(links: DataFrame, comps: DataFrame, whole: DataFrame) -> DataFrame:
-    """(sig, n_links): how many other sets each set of ``comps`` (sig, component) links with; ``links`` may be some of the links only."""
+    """Stored (sig, n_links): how many other sets each set of ``comps`` (sig, component) links with; ``links`` may be some of the links only."""
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     known = links.join(comps.withColumnRenamed("sig", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("known"))
     sizes = stored(sizes.join(known, "component"), "sizes")
@@ -547,7 +632,9 @@ def _degrees(links: DataFrame, comps: DataFrame, whole: DataFrame) -> DataFrame:
     pairs = many.select("component", "block", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.join(many.select("component", "block", "x"), ["component", "block"]).join(many.select("component", F.col("block").alias("other"), F.col("x").alias("y")), ["component", "other"])
     between = pairs.select("x", F.when(F.col("block") < F.col("other"), F.col("y")).alias("y")).mapInArrow(count, "sig long, n long")
-    return closed.union(within.union(between).groupBy("sig").agg(F.sum("n").alias("n_links")))
+    out = stored(closed.union(within.union(between).groupBy("sig").agg(F.sum("n").alias("n_links"))), "degrees")
+    discard(comps.sparkSession, sizes, many)
+    return out
 
 
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -556,40 +643,50 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_links counts the classes (texts with another set) that link with the row's
     class.
     """
+    spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("row_text"))
     rows, sketch = _scan(texts)
-    classes = stored(rows.where("n > 0").groupBy("sig").agg(F.min("row_id").alias("rep_id")), "classes")
+    rows_only = rows.where("block IS NULL")
+    verifier = Verifier(texts, rows_only)
     lists = _lists(texts, sketch)
-    whole = _sets(texts, classes, lists)
     done = [stored(_pivot_pairs(lists).distinct(), "pairs")]
-    found = [_verified(done[0], whole)]
+    found = [verifier.links(done[0])]
 
-    def settle(pairs: DataFrame) -> None:
-        """Verify what has not been verified before."""
+    def settle(pairs: DataFrame) -> bool:
+        """Verify what has not been verified before; whether that found links."""
         for old in done:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         done.append(stored(pairs, "pairs"))
-        found.append(_verified(done[-1], whole))
+        if done[-1].isEmpty():
+            return False
+        found.append(verifier.links(done[-1]))
+        return not found[-1].isEmpty()
 
     def joined() -> DataFrame:
-        return stored(functools.reduce(DataFrame.union, found), "links")
+        return functools.reduce(DataFrame.union, found)
 
-    members = _members(lists, components(joined(), most_rounds=3))
+    comps, final = labels(joined(), most_rounds=3)
+    members = _members(lists, comps)
     for number in range(ROUNDS):
         open_pairs, size = _still_open(members)
-        if open_pairs <= size:
-            break
-        settle(_probe_pairs(members, number).distinct())
-        if found[-1].isEmpty():
+        if open_pairs <= size or not settle(_probe_pairs(members, number).distinct()):
             break
-        members = _members(lists, components(joined(), most_rounds=3))
-    settle(_open_pairs(members).distinct())
+        old, (comps, final) = (members, comps), labels(joined(), most_rounds=3)
+        members = _members(lists, comps)
+        discard(spark, *old)
+    if settle(_open_pairs(members).distinct()) or not final:
+        discard(spark, comps)
+        comps, _ = labels(joined())
+    comps = comps.withColumnRenamed("node", "sig")
+    discard(spark, members, lists, *done)
     links = joined()
-    comps = stored(components(links).withColumnRenamed("node", "sig"), "components")
-    labelled = classes.join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    least = stored(labelled.groupBy("component").agg(F.min("rep_id").alias("component_id")), "least")
-    degree = stored(_degrees(links, comps, whole), "degrees")
+    labelled = verifier.classes.select("sig", "rep_id").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    least = labelled.groupBy("component").agg(F.min("rep_id").alias("component_id"))
+    degree = _degrees(links, comps, verifier.whole)
     per_class = stored(labelled.join(least, "component").join(degree, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "per-class")
+    discard(spark, degree, *found, verifier.classes_table, verifier.sets_table)
+    release(spark)
     # Rows without shingles have no class: they must not meet in one key.
-    some = rows.where("n > 0").join(per_class, "sig").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return some.union(rows.where("n = 0").select("row_id", "n", "row_id", F.lit(0).cast("long")))
+    rows_only = rows_only.select("row_id", "n", "sig")
+    some = rows_only.where("n > 0").join(per_class, "sig").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return some.union(rows_only.where("n = 0").select("row_id", "n", "row_id", F.lit(0).cast("long")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,9 +14,14 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; only where none is set, a local one (tests, local mode)."""
+    """The shared folder; where none is set, a local one, which only a local master can share."""
     found = spark.conf.get(KEY, None)
-    return found or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"{KEY} must name a folder that all executors of {master} share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,14 +34,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
+    out.stored_under = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what no frame refers to any more, so that old shuffle files go now, not at its next garbage collection."""
-    import gc
+def discard(spark: SparkSession, *frames: DataFrame | str) -> None:
+    """Delete what stored() wrote, or tables by name, once nothing unwritten depends on it."""
+    for frame in frames:
+        if isinstance(frame, str):
+            spark.sql(f"DROP TABLE IF EXISTS {frame}")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_under)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def release(spark: SparkSession) -> None:
+    """After a large shuffle: its files go now, not at the driver's next garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: An odd multiplier of the polynomial hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
-SLICE = 1 << 20
+SLICE, LONG = 1 << 20, 1024
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def as_array(col: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -56,37 +54,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random word for each byte value, and powers of BASE and of its inverse."""
-    n = 1 << 16
-    codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return codes, _powers(BASE, n), _powers(BASE_INV, n)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    k, p = 1, base & ((1 << 64) - 1)
-    while k < n:
-        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(p)
-        p, k = p * p & ((1 << 64) - 1), 2 * k
-    return out
-
-
-@functools.lru_cache(maxsize=4)
-def _long_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(BASE, 1 << bits), _powers(BASE_INV, 1 << bits)
-
-
 class SpanHash:
-    """64-bit hashes of any spans of a byte buffer, from prefix sums modulo 2**64."""
+    """64-bit hashes of any spans of a byte buffer, from their bytes in steps of eight.
+
+    Each step mixes eight bytes into the whole state, so no arrangement of letters
+    makes two spans equal, as sums of powers would.  Spans over LONG bytes get a
+    cryptographic digest.
+    """
 
     def __init__(self, buf: np.ndarray):
-        bits = max(16, int(len(buf) + 1).bit_length())
-        self.powers, self.inverse = _long_powers(bits)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_tables()[0][buf] * self.powers[: len(buf)], out=self.sums[1:])
+        self.data = np.zeros(len(buf) + 8, np.uint8)
+        self.data[: len(buf)] = buf
+        self.eight = np.ndarray((len(buf) + 1,), np.uint64, self.data.data, 0, (1,))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        left = end - start
+        h = mix(left.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x9E3779B97F4A7C15))
+        long = np.flatnonzero(left > LONG)
+        for i in long.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        live = np.flatnonzero((left > 0) & (left <= LONG))
+        at, left = start[live], left[live]
+        while len(live):
+            h[live] = mix(h[live] * np.uint64(0xD1B54A32D192ED03) ^ (self.eight[at] & _MASKS[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        return h

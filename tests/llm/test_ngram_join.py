@@ -57,6 +57,38 @@ def near_copies(rng, words=60, copies=40, edits=6):
     return out
 
 
+def thue_morse(n):
+    """A word of n letters and its complement, which sums of powers modulo 2**64 can't tell apart from 1,024 letters on."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [256, 1024, 2048, 4096])
+def test_words_that_differ_have_different_shingles(n):
+    import numpy as np
+
+    texts = [f"one two {w} four five".encode() for w in thue_morse(n)]
+    h, at = ngram_join.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), 2 * len(texts[0])]))
+    assert list(at) == [0, 1, 2] and h[0] != h[1]
+
+
+def test_profiles_bound_the_intersection():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = []
+    for n in (0, 1, 3, 4, 9, 40, 41, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        sets += [x, np.unique(np.concatenate([x[: len(x) * 9 // 10], rng.integers(0, 1 << 63, len(x) // 10, np.uint64)]))]
+    sets.append(np.arange(1000, dtype=np.uint64))  # all in one range
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    made = [np.frombuffer(v.as_buffer(), np.uint8) for v in ngram_join.profiles(np.concatenate(sets), at)]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert ngram_join.most_common(made[i], made[j]) >= len(np.intersect1d(x, y))
+    assert ngram_join.most_common(made[14], made[16]) < 0.8 * 300  # unlike sets are told apart
+
+
 @pytest.mark.parametrize("list_rows", [1024, 4])
 def test_equals_brute_force_on_near_copies(spark, monkeypatch, list_rows):
     monkeypatch.setattr(ngram_join, "LIST_ROWS", list_rows)
@@ -64,6 +96,7 @@ def test_equals_brute_force_on_near_copies(spark, monkeypatch, list_rows):
     texts = [t for _ in range(6) for t in near_copies(rng)] + ["a b c", "A  b\tc", "a b", "", None, "one two three four five six"]
     passage = " ".join(f"p{k}" for k in range(30))
     texts += [f"{passage} {' '.join(f'q{rng.randrange(10**6)}' for _ in range(rng.randrange(12)))}" for _ in range(60)]
+    texts += [f"one two {w} four five" for w in thue_morse(1024)]
     rng.shuffle(texts)
     df = spark.createDataFrame([(i, t, None, None, None, None, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(5)
     assert result(df) == brute(enumerate(texts))
