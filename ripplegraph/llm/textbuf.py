@@ -54,6 +54,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def same_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of one size that begin at a and at b hold the same bytes."""
+    eight = SpanHash(buf).eight
+    out = np.ones(len(a), bool)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = bool((buf[a[i] : a[i] + size[i]] == buf[b[i] : b[i] + size[i]]).all())
+    live = np.flatnonzero((size > 0) & (size <= LONG) & (a != b))
+    x, y, left = a[live], b[live], size[live]
+    while len(live):
+        mask = _MASKS[np.minimum(left, 8)]
+        equal = (eight[x] & mask) == (eight[y] & mask)
+        out[live[~equal]] = False
+        more = np.flatnonzero(equal & (left > 8))
+        live, x, y, left = live[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return out
+
+
 class SpanHash:
     """64-bit hashes of any spans of a byte buffer, from their bytes in steps of eight.
 

@@ -10,9 +10,12 @@ every other difference, so nothing more may be folded.
 For a byte-level ``.json`` tokenizer without normalisation the count of a text
 is the sum over chunks that begin at white space after other text, since its
 split pattern never matches across such a place.  The library therefore encodes
-each distinct chunk once and whole texts get sums; a table of fixed size (told
-apart by 64-bit hashes) remembers chunks between batches.  Other tokenizers
-encode whole texts.
+each distinct chunk once and whole texts get sums; chunks are told apart by their
+bytes, and at most MOST_KNOWN short ones are remembered between batches.  Other
+tokenizers encode whole texts.
+
+Two runs that append to one cache at once may store a digest twice; readers take
+one row of each.
 
 Results: one row for each input row, repeated rows and ties included.  Null and
 empty texts have 0 bytes and what the library gives for empty text.
@@ -33,10 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import new_path, stored
-from .textbuf import SpanHash, row_slices, text_buffer
+from .textbuf import SpanHash, row_slices, same_spans, text_buffer
 
-#: Slots of the chunk memory of a Python worker (12 bytes each).
-SLOTS = 1 << 20
+#: Chunks that a Python worker remembers, and the longest of them in bytes.
+MOST_KNOWN, LONGEST_KNOWN = 1 << 19, 64
 SCHEMA = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -54,7 +57,7 @@ class TokenCounter:
     """Counts as the library of the file gives them, without added special tokens."""
 
     def __init__(self, path: str):
-        self.keys, self.counts = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.known: dict[bytes, int] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -92,16 +95,24 @@ class TokenCounter:
         starts = chunk_starts(buf, offs)
         ends = np.append(starts[1:], n)
         keys = SpanHash(buf)(starts, ends)
-        uniq, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        slot = (uniq & np.uint64(SLOTS - 1)).astype(np.int64)
-        counts = np.where(self.keys[slot] == uniq, self.counts[slot], -1)
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        head = first[back]
+        # Chunks that only share a hash with the first one count on their own.
+        other = np.flatnonzero((ends - starts != (ends - starts)[head]) | ~same_spans(buf, starts, starts[head], ends - starts))
+        chunks = [buf[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        counts = np.array([self.known.get(c, -1) for c in chunks], np.int64)
         missing = np.flatnonzero(counts < 0)
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            counts[part] = self.lengths([buf[a:b].tobytes().decode() for a, b in zip(starts[first[part]].tolist(), ends[first[part]].tolist(), strict=True)])
-        self.keys[slot[missing]], self.counts[slot[missing]] = uniq[missing], counts[missing]
+            counts[part] = self.lengths([chunks[k].decode() for k in part.tolist()])
+        if len(self.known) + len(missing) > MOST_KNOWN:
+            self.known.clear()
+        self.known.update((chunks[k], int(counts[k])) for k in missing.tolist() if len(chunks[k]) <= LONGEST_KNOWN)
+        each = counts[back]
+        if len(other):
+            each[other] = self.lengths([buf[starts[k] : ends[k]].tobytes().decode() for k in other.tolist()])
         row = np.searchsorted(offs, starts, "right") - 1
-        return np.bincount(row, counts[back], rows).astype(np.int64)
+        return np.bincount(row, each, rows).astype(np.int64)
 
 
 def chunk_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -129,7 +140,7 @@ class DigestCache:
         spark.createDataFrame([], SCHEMA).write.mode("append").parquet(self.path)
 
     def counts(self, version: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+        return self.spark.read.schema(SCHEMA).parquet(self.path).where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
     def append(self, rows: DataFrame, version: str) -> None:
         rows.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(self.path)
@@ -138,12 +149,12 @@ class DigestCache:
 def count_tokens(df: DataFrame, tokenizer_file: str, cache: DigestCache, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for each row of df; cache gets the counts that it lacked."""
     version = tokenizer_version(tokenizer_file)
-    texts = df.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("content_text"))
-    rows = stored(texts.select("row_id", F.unhex(F.sha2("content_text", 256)).alias("content"), F.octet_length("content_text").cast("long").alias("n_bytes")), "contents")
-    misses = rows.groupBy("content").agg(F.min("row_id").alias("rep_id")).join(cache.counts(version), "content", "left_anti")
-    # One row of each missing text goes on, by its id: a text shared by many rows doesn't gather them.
-    reps = misses.select("rep_id").distinct().hint("shuffle_hash")
-    chosen = texts.join(reps, F.col("row_id").eqNullSafe(F.col("rep_id")), "left_semi").select("content_text")
+    texts = df.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("content_text")).withColumn("tag", F.xxhash64("content_text"))
+    rows = stored(texts.select("row_id", "tag", F.unhex(F.sha2("content_text", 256)).alias("content"), F.octet_length("content_text").cast("long").alias("n_bytes")), "contents")
+    misses = rows.groupBy("content").agg(F.min(F.struct("row_id", "tag")).alias("rep")).join(cache.counts(version), "content", "left_anti")
+    # One row of each missing text goes on, by its id and a hash of the text: neither a text shared by many rows nor an id shared by many texts gathers them.
+    reps = misses.select(F.col("rep.row_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag")).distinct().hint("shuffle_hash")
+    chosen = texts.join(reps, F.col("row_id").eqNullSafe(F.col("rep_id")) & (F.col("tag") == F.col("rep_tag")), "left_semi").select("content_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_file)
