@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, stored
 from .textbuf import SpanHash, row_slices, text_buffer
 
 MOST_LABELLED, RANK, NEIGHBOURS, SHARPNESS = 4096, 48, 15, 16
@@ -98,6 +99,18 @@ def _first(of: np.ndarray, h: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+def nearest(sim: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each row's k greatest values, ties to the smaller position."""
+    if k >= sim.shape[1]:
+        return np.tile(np.arange(sim.shape[1]), (len(sim), 1))
+    near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sim, near, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((sim >= least).sum(1) > k).tolist():
+        at = np.flatnonzero(sim[i] >= least[i])
+        near[i] = at[np.argsort(-sim[i, at], kind="stable")[:k]]
+    return near
+
+
 @dataclass
 class KnnModel:
     idf: np.ndarray
@@ -116,7 +129,7 @@ class KnnModel:
         k = min(self.neighbours, len(self.labels))
         for at in range(0, len(x) if k else 0, block):
             sim = x[at : at + block] @ self.vectors.T
-            near = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.tile(np.arange(k), (len(sim), 1))
+            near = nearest(sim, k)
             w = np.maximum(np.take_along_axis(sim, near, 1).astype(np.float64), 1e-6) ** SHARPNESS
             out[at : at + block] = np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0, 1)
         return out
@@ -132,11 +145,20 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, id_col: str, m
     return known.orderBy(F.xxhash64(F.col(id_col).cast("long")), id_col).limit(most)
 
 
-def fit(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, rank: int = RANK) -> KnnModel:
-    """Learn from the rows of labels (id, label) that have a text in df; the caller leaves out the held-out ones."""
+def labelled_texts(df: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> DataFrame:
+    """Stored (row_id, row_text, y): one row for each of at most so many labelled ids; of rows repeated with an id, the smallest text.
+
+    Rows repeated with an id shrink before anything is collected or counted.
+    """
     sample = labelled_sample(df, labels, label, id_col, most).withColumnRenamed(id_col, "sample_id")
     # At most `most` narrow rows: a proven bound for the broadcast.
-    texts = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text")).join(F.broadcast(sample), F.col("row_id") == F.col("sample_id"))
+    texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("row_text")).join(F.broadcast(sample), F.col("row_id") == F.col("sample_id"))
+    return stored(texts.groupBy("row_id", "y").agg(F.min("row_text").alias("row_text")).select("row_id", "row_text", "y"), "labelled")
+
+
+def fit(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, rank: int = RANK) -> KnnModel:
+    """Learn from the rows of labels (id, label) that have a text in df; the caller leaves out the held-out ones."""
+    texts = labelled_texts(df, labels, label, id_col, text_col, most)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,9 +167,8 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str =
                 x = term_weights(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"row_id": b.column(0).slice(i, j - i).cast(pa.int64()), "y": b.column(2).slice(i, j - i), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = texts.select("row_id", "row_text", "y").mapInArrow(terms, "row_id long, y double, x binary").collect()
-    # Repeated rows of an id would vote more than once, and break the bound.
-    rows = sorted({r.row_id: (r.row_id, bytes(r.x), r.y) for r in sorted(rows, key=lambda r: bytes(r.x))}.values())
+    rows = sorted((r.row_id, bytes(r.x), r.y) for r in texts.mapInArrow(terms, "row_id long, y double, x binary").collect())
+    discard(df.sparkSession, texts)
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), TERMS).astype(np.float32)
     y = np.array([r[2] for r in rows], np.float64)
     idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1

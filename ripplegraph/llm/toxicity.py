@@ -8,8 +8,10 @@ stay as they are.  The trigram model counts every whole text of the corpus.
 
 Classifier: logistic regression on the words of the restored text and their
 beginnings.  It learns from at most ``MOST_LABELLED`` labelled rows (those with
-the smallest hash of the id) and keeps at most ``MOST_FEATURES`` features, which
-bounds what is collected and broadcast.  Everything else covers all data.
+the smallest hash of the id, one row for each id) and uses as its vocabulary the
+``MOST_FEATURES`` features that lean furthest to one label, of those in at least
+``LEAST_ROWS`` labelled texts, which bounds what is collected and broadcast.
+Everything else covers all data.
 
 Results: one row for each input row; null and empty texts are scored as empty
 texts; repeated rows get equal scores; without labelled rows of both classes
@@ -30,7 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_knn import _first, labelled_sample
+from .quality_knn import _first, labelled_texts
+from .shared import discard
 from .textbuf import SpanHash, mix, row_slices, text_buffer
 
 MOST_LABELLED, MOST_FEATURES, LEAST_ROWS = 12_000, 1_000, 4
@@ -240,9 +243,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 80
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> ToxicModel:
     """Learn from the rows of labels (id, label) that have a text in df; the caller leaves out the held-out ones."""
     trigrams = letter_trigrams(df, text_col)
-    sample = labelled_sample(df, labels, label, id_col, most).withColumnRenamed(id_col, "sample_id")
-    # At most `most` narrow rows: a proven bound for the broadcast.
-    texts = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text")).join(F.broadcast(sample), F.col("row_id") == F.col("sample_id"))
+    texts = labelled_texts(df, labels, label, id_col, text_col, most)
     model = ToxicModel(None, trigrams, np.zeros(0, np.uint64), np.zeros(0), 0.0)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -255,8 +256,8 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "d
                 row, h = row[first] + i, h[first]
                 yield pa.RecordBatch.from_pydict({"row_id": b.column(0).take(pa.array(row)).cast(pa.int64()), "y": b.column(2).take(pa.array(row)), "h": pa.array(h.view(np.int64))})
 
-    sampled = texts.select("row_id", "row_text", "y").mapInArrow(distinct_features, "row_id long, y double, h long")
-    totals = texts.agg(F.countDistinct("row_id").alias("n"), F.sum("y").alias("pos")).first()
+    sampled = texts.mapInArrow(distinct_features, "row_id long, y double, h long")
+    totals = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
     n, pos = totals.n or 0, totals.pos or 0.0
     if not n or pos <= 0 or pos >= n:
         model.bias = 0.0 if not n else float(np.clip(math.log((pos + 1e-9) / (n - pos + 1e-9)), -20, 20))
@@ -278,7 +279,8 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "d
                 bounds = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"row_id": b.column(0).slice(i, j - i).cast(pa.int64()), "y": b.column(2).slice(i, j - i), "k": pa.ListArray.from_arrays(pa.array(bounds), pa.array(k.astype(np.int32)))})
 
-    rows = sorted({r.row_id: (r.row_id, r.k, r.y) for r in sorted(texts.select("row_id", "row_text", "y").mapInArrow(hit_lists, "row_id long, y double, k array<int>").collect(), key=lambda r: r.k)}.values())
+    rows = sorted((r.row_id, r.k, r.y) for r in texts.mapInArrow(hit_lists, "row_id long, y double, k array<int>").collect())
+    discard(df.sparkSession, texts)
     x = np.zeros((len(rows), len(model.keys)), np.float32)
     for i, r in enumerate(rows):
         x[i, r[1]] = 1

@@ -53,6 +53,27 @@ def test_vote_equals_plain_sum():
         assert abs(s - (w * m.labels[near]).sum() / w.sum()) < 1e-6
 
 
+def test_ties_fall_to_the_smaller_position():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sim = rng.integers(0, 4, (6, 30)).astype(np.float32)
+        got = quality_knn.nearest(sim, 7)
+        assert (np.sort(got, 1) == np.sort(np.argsort(-sim, axis=1, kind="stable")[:, :7], 1)).all()
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    texts = [(i, f"you {'idiot moron' if i % 2 else 'friend neighbour'} number{i} of all", i % 2) for i in range(60)]
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    plain = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    for m, label in ((toxicity, "toxic"), (quality_knn, "quality")):
+        want = {r.doc_id: r.score for r in m.score(plain, m.fit(plain, labels, label)).collect()}
+        for times in (2, 3, 1000):
+            again = plain.union(spark.createDataFrame([texts[1][:2], texts[3][:2]] * (times - 1), plain.schema))
+            got = {r.doc_id: r.score for r in m.score(plain, m.fit(again, labels, label)).collect()}
+            assert max(abs(got[i] - want[i]) for i in want) < 1e-3
+        assert label != "toxic" or (want[1] > 0.5 > want[0])
+
+
 @pytest.fixture(scope="module")
 def channel(spark):
     return toxicity.Channel(toxicity.letter_trigrams(spark.createDataFrame([("the idiot and the moron hit a stupid idiot " * 50,)], "text string")))
