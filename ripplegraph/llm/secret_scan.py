@@ -8,9 +8,9 @@ ordered by start and then by kind in the order of ``KINDS``:
 * entropy: in runs of secret-like characters, windows of ``WINDOW`` characters
   whose Shannon entropy reaches the threshold of the run's character class.
   A window moves by one character with two count updates.  Touching windows
-  join to one span.  A run is suppressed when it holds an allow-listed string
-  or has no digit or no letter, and a span that lies inside a rule's span adds
-  nothing and is left out.
+  join to one span.  A window that overlaps an allow-listed string is
+  suppressed, as is a run that has no digit or no letter; the rest of a run stays
+  in force.  A span that lies inside a rule's span adds nothing and is left out.
 
 Null and empty texts have no spans; repeated rows give repeated results.
 """
@@ -33,14 +33,17 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits for each character that a window of the class must reach.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8}
-#: Strings that mark a run as no secret, in lower case.
+#: Strings that mark the windows they touch as no secret, in lower case.
 ALLOWED = ("example", "abcdefghij", "0123456789abcdef", "1234567890", "qwertyuiop", "lorem", "http", "www", "-----")
 _CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
 _CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def windows(run: str, threshold: float) -> list[tuple[int, int]]:
-    """Joined windows of the run with at least that entropy."""
+_LISTED = re.compile("(?=(" + "|".join(map(re.escape, sorted(ALLOWED, key=len, reverse=True))) + "))", re.ASCII)
+
+
+def windows(run: str, threshold: float, free_from: list[int] | None = None) -> list[tuple[int, int]]:
+    """Joined windows of the run with at least that entropy; free_from tells for each end where a window may begin."""
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, c in enumerate(run):
@@ -53,6 +56,8 @@ def windows(run: str, threshold: float) -> list[tuple[int, int]]:
         counts[c] = n
         if i >= WINDOW - 1 and math.log2(WINDOW) - total / WINDOW >= threshold - 1e-9:
             start = i - WINDOW + 1
+            if free_from and start < free_from[i]:
+                continue
             if spans and spans[-1][1] >= start:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -60,17 +65,31 @@ def windows(run: str, threshold: float) -> list[tuple[int, int]]:
     return spans
 
 
-def entropy_spans(text: str, allowed: tuple[str, ...] = ALLOWED) -> list[tuple[int, int]]:
+def _free_from(run: str) -> list[int] | None:
+    """For each place, the least begin of a window up to it that overlaps no allow-listed string."""
+    ends = [(m.start(1), m.end(1)) for m in _LISTED.finditer(run.lower())]
+    if not ends:
+        return None
+    out, free = [0] * len(run), 0
+    begins = dict(ends)
+    last = 0
+    for i in range(len(run)):
+        # A window that ends at i overlaps a string that begins at or before i.
+        if i in begins:
+            last = max(last, begins[i])
+        free = max(free, last)
+        out[i] = free
+    return out
+
+
+def entropy_spans(text: str) -> list[tuple[int, int]]:
     out = []
     for m in RUN.finditer(text):
         run = m[0]
         if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
             continue
-        low = run.lower()
-        if any(a in low for a in allowed):
-            continue
         kind = next(k for k, p in _CLASSES if p.fullmatch(run))
-        out += [(m.start() + a, m.start() + b) for a, b in windows(run, THRESHOLDS[kind])]
+        out += [(m.start() + a, m.start() + b) for a, b in windows(run, THRESHOLDS[kind], _free_from(run))]
     return out
 
 

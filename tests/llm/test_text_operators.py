@@ -118,7 +118,65 @@ def test_entropy_windows_equal_recount():
         if plain_entropy(run[i : i + w]) >= 3.8 - 1e-9:
             hit |= set(range(i, i + w))
     assert {i for a, b in secret_scan.windows(run, 3.8) for i in range(a, b)} == hit
-    assert secret_scan.entropy_spans("key=EXAMPLEq8Xv2LmN9pRt4KwZ7sYb3Jc") == []
+    # Windows that overlap a listed string are out, those beside it are not.
+    assert secret_scan.entropy_spans("EXAMPLEq8Xv2LmN9pRt4KwZ7s") == []
+    assert secret_scan.entropy_spans("key=EXAMPLEq8Xv2LmN9pRt4KwZ7sYb3Jc") == [(11, 34)]
+    assert secret_scan.entropy_spans("q8Xv2LmN9pRt4KwZ7sYb3JcHd6wwwq8Xv2LmN9pRt4KwZ7sYb3JcHd6") == [(0, 26), (29, 55)]
+
+
+def test_secret_query_equals_brute_force(spark, small_docs):
+    rows = {r.doc_id: r for r in queries()["op5_secret_scan"](spark, SMALL).collect()}
+    for d in small_docs.collect():
+        base, r = plain_base(d.text or ""), rows[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
+        assert [s for s in r.spans.split(",") if s and not s.startswith("entropy")] == base
+    assert len(rows) == small_docs.count()
+
+
+def test_bpe_query_equals_library(spark, small_docs):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    whole = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = {r.doc_id: r for r in queries()["op1_bpe_codec"](spark, SMALL).collect()}
+    for d in small_docs.collect():
+        ids, r = whole.encode_ordinary(d.text or ""), rows[d.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_token_query_equals_library(spark, small_docs):
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries()["op6_token_counts"](spark, SMALL).collect()}
+    want = {}
+    for d in small_docs.collect():
+        n = len(whole.encode(d.text or "", add_special_tokens=False).ids)
+        want[d.doc_id] = (len((d.text or "").encode()), n, n > 512)
+    assert rows == want
+
+
+def test_token_counts_of_words_that_differ(spark):
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_50k.json")
+    whole, counter = Tokenizer.from_file(path), token_counts.TokenCounter(path)
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    words = ["".join(c[b] for b in bits[:n]) for n in (512, 1024, 2048) for c in ("ab", "ba")]
+    assert counter.count(pa.array(words)).tolist() == [len(whole.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+def test_a_second_run_encodes_nothing(spark, small_docs, monkeypatch):
+    path, cache = P.path("byte_bpe_50k.json"), token_counts.DigestCache(spark)
+    first = token_counts.count_tokens(small_docs, path, cache).collect()
+    encoded = []
+    real = token_counts.stored
+    monkeypatch.setattr(token_counts, "stored", lambda df, name: (out := real(df, name), encoded.append(out.count()) if name == "encoded" else None)[0])
+    again = token_counts.count_tokens(small_docs, path, token_counts.DigestCache(spark, cache.path))
+    assert sorted(again.collect()) == sorted(first) and encoded == [0]
+    # Two runs that appended the same digest leave two rows; readers take one.
+    version = token_counts.tokenizer_version(path)
+    cache.append(cache.counts(version).limit(5), version)
+    assert sorted(token_counts.count_tokens(small_docs, path, cache).collect()) == sorted(first)
 
 
 def test_exact_dedup(spark, odd_docs, small_docs):
