@@ -18,7 +18,7 @@ strings are judged on the input and never cross rows.
 
 A passage in any number of rows thus costs narrow rows and one segment for each
 distinct surrounding; of a class's members in one slice of the input, only the
-earliest is dealt by anchor, the others are dealt evenly.  Contents are told apart by 48 bits of a
+earliest is dealt by anchor, the others are dealt evenly.  Contents are told apart by 64 bits of a
 hash under one anchor; suffixes are compared by their bytes.
 
 Results: one row for each input row.  Null and short texts have no spans.  A null
@@ -123,7 +123,7 @@ def _later(anchor: np.ndarray, digest: np.ndarray, row_id: np.ndarray, first: np
     return out
 
 
-_COLUMNS = (("low", np.uint32), ("high", np.uint8), ("d_low", np.uint32), ("d_high", np.uint16), ("row_id", np.int64), ("tag", np.int32), ("first", np.int32), ("more", np.uint8), ("sure", np.uint8))
+_COLUMNS = (("low", np.uint32), ("high", np.uint8), ("d_low", np.uint32), ("d_high", np.uint32), ("row_id", np.int64), ("tag", np.int32), ("first", np.int32), ("more", np.uint8), ("sure", np.uint8))
 
 
 def _repeats_and_rest(texts: DataFrame, buckets: int) -> DataFrame:
