@@ -32,6 +32,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 class DigestIndex:
     """The index as a bucketed table of the session's catalog; ``location`` makes it outlive the catalog."""
 
@@ -60,8 +64,7 @@ def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     keep_id is the smallest id of the text's group in the first batch that held
     the text; kept marks that row.  group_size counts the rows of this batch.
     """
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    rows = df.select(F.col(id_col).cast("long").alias("row_id"), digest.alias("digest")).groupBy("digest", "row_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), digest(F.col(text_col)).alias("digest")).groupBy("digest", "row_id").agg(F.count(F.lit(1)).alias("copies"))
     rows = stored(rows, "digests")  # texts are read and hashed once; from here on rows are narrow
     groups = rows.groupBy("digest").agg(F.min("row_id").alias("first_id"), F.sum("copies").alias("group_size"))
     index.append(groups.join(index.read(), "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id")))

@@ -63,6 +63,30 @@ def test_ids_decode_to_the_texts(stages):
     assert all(len(r.ids) == r.n_tokens for r in stages[0][5])
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, position long, copy_number long, wanted_id long, placed_id long, slot string, doc string, id string, key string, digest string, turn string"
+
+
+def test_empty_tables_and_clashing_names(spark):
+    tail = (7, 9, 1, 2, "s", "d", "i", "k", "g", "t")
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a  text", "en", "x", 1, *tail), (1, "another text", "en", "x", 1, *tail), (2, "a text", "en", "y", 1, *tail), (2, "a text", "en", "y", 1, *tail)]
+    rows += [(None, words, "en", None, 1, *tail), (None, words + " end", "en", None, 1, *tail), (None, "none", "en", None, 1, *tail), (3, words + " more", "en", "x", 1, *tail)]
+    docs = corpus_pipeline.stored(spark.createDataFrame(rows, CLASHES), "docs")
+    exact = corpus_pipeline.stored(corpus_pipeline.drop_copies(spark, docs, SMALL), "exact")
+    assert exact.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted((i or 0, t) for i, t, *_ in (rows[0], rows[1], *rows[4:]))
+    near = corpus_pipeline.stored(corpus_pipeline.drop_near_copies(spark, exact, SMALL), "near")
+    assert sorted((r.doc_id or 0, r.text) for r in near.collect()) == sorted([(1, "a  text"), (1, "another text"), (0, "none"), (3, words + " more")])
+    mixed = corpus_pipeline.stored(corpus_pipeline.interleave_sources(spark, near, SMALL), "mix")
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, near.collect()))
+    assert {tuple(r[5:]) for r in mixed.collect()} == {tail}
+    assert sorted(r.position for r in corpus_pipeline.encode(spark, mixed, SMALL).collect()) == [0, 1, 2, 3]
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.stored(stage(spark, empty, SMALL), "empty")
+        assert empty.isEmpty()
+
+
 def test_the_order_of_the_mix_survives_the_reread(spark):
     sources = ["a"] * 700 + ["b"] * 200 + [None] * 100
     rows = [(i, f"text {i}", "en", x, 1) for i, x in enumerate(sources)]
