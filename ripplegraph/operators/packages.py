@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_under
 from ..schema import EXACT
-from ..sources.shared import stored
+from ..sources.shared import Grown, stored
 
 
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -23,20 +23,15 @@ def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
 
 def closure(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(package, target): reflexive, transitive closure of links (package, target) over nodes (package)."""
-    step = links.select("package", "target").distinct()
-    reached = [stored(nodes.select("package", F.col("package").alias("target")).distinct(), "closure")]
-    while True:
-        new = reached[-1].join(step.select(F.col("package").alias("target"), F.col("target").alias("next")), "target").select("package", F.col("next").alias("target")).distinct()
-        for old in reached:
-            new = new.join(old, ["package", "target"], "left_anti")
-        new = stored(new, "closure")
-        if new.isEmpty():
-            break
-        reached.append(new)
-    out = reached[0]
-    for r in reached[1:]:
-        out = out.unionByName(r)
-    return out
+    step = stored(links.select("package", "target").distinct(), "links")
+    pairs = Grown(nodes.sparkSession, "closure", ["package", "target"])
+    pairs.append(nodes.select("package", F.col("package").alias("target")).distinct().withColumn("hop", F.lit(0)))
+    hop = 0
+    while not (last := pairs.read().where(F.col("hop") == hop)).isEmpty():
+        new = last.join(step.select(F.col("package").alias("target"), F.col("target").alias("next")), "target").select("package", F.col("next").alias("target")).distinct()
+        hop += 1
+        pairs.append(new.join(pairs.read().select("package", "target"), ["package", "target"], "left_anti").withColumn("hop", F.lit(hop)))
+    return pairs.close().select("package", "target")
 
 
 def visible(packages: DataFrame) -> DataFrame:

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..operators import report, traverse
 from ..schema import EXACT
-from .graphs import fk_edges, fk_nodes, fk_sql, seed, table, whole
+from ..sources.shared import stored
+from .graphs import fk_edges, fk_nodes, fk_sql, seed, table
 
 
-def _dependents(spark: SparkSession, d: str, weighed: bool = False) -> DataFrame:
-    nodes = fk_nodes(spark, d)
-    return traverse.dependents(nodes, traverse.reach(nodes, fk_edges(spark, d, weighed), seed(spark)))
+def _dependents(spark: SparkSession, d: str, weighed: bool = False, most_hops: int | None = None) -> DataFrame:
+    nodes = stored(fk_nodes(spark, d), "nodes")  # ids are digests: worked out once
+    return traverse.dependents(nodes, traverse.reach(nodes, fk_edges(spark, d, weighed), seed(spark), most_hops))
 
 
 def direct_dependents(spark, d):
-    return _dependents(spark, d).where("bucket = 'direct'").select("path", "file", "line", "confidence")
+    return _dependents(spark, d, most_hops=1).where("bucket = 'direct'").select("path", "file", "line", "confidence")
 
 
 def indirect_dependents(spark, d):
@@ -68,9 +69,9 @@ def bucket_fold(spark, d):
     return traverse.dependents(folded, reached).select("bucket", "path", "confidence", "id")
 
 
-def cyclic_reach(spark, d, lines="l_quantity >= 40 AND l_linenumber = 1"):
+def cyclic_reach(spark, d):
     """Parts and suppliers that order lines join are linked both ways: a cyclic graph."""
-    pairs = table(spark, d, "lineitem").where(lines).select("l_partkey", "l_suppkey").distinct()
+    pairs = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     part, supplier = F.concat(F.lit("part::"), F.col("l_partkey").cast("string")), F.concat(F.lit("supplier::"), F.col("l_suppkey").cast("string"))
     one = pairs.select(part.alias("from_id"), supplier.alias("to_id"), F.lit("Calls").alias("kind"), F.lit(EXACT).alias("confidence"))
     edges = one.unionByName(one.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "kind", "confidence"))
@@ -80,7 +81,7 @@ def cyclic_reach(spark, d, lines="l_quantity >= 40 AND l_linenumber = 1"):
 
 
 CYCLIC_SQL = """
-WITH RECURSIVE p AS (SELECT DISTINCT 'part::' || l_partkey a, 'supplier::' || l_suppkey b FROM lineitem WHERE l_quantity >= 40 AND l_linenumber = 1),
+WITH RECURSIVE p AS (SELECT DISTINCT 'part::' || l_partkey a, 'supplier::' || l_suppkey b FROM lineitem),
 e AS (SELECT a f, b t FROM p UNION ALL SELECT b, a FROM p),
 r(id, hop) USING KEY (id) AS (
   SELECT 'supplier::1', 0
@@ -135,15 +136,16 @@ def _bucket_graph(spark, d, where):
     return nodes, edges
 
 
-_BEFORE, _AFTER = "ts < timestamp_ntz '2024-01-02 00:00:00'", "ts >= timestamp_ntz '2024-01-29 12:00:00'"
+_FIRST_HALF, _SECOND_HALF = "ts < timestamp_ntz '2024-01-16 00:00:00'", "ts >= timestamp_ntz '2024-01-16 00:00:00'"
 
 
 def event_wiring(spark, d):
-    return report.event_wiring(*_bucket_graph(spark, d, _BEFORE))
+    return report.event_wiring(*_bucket_graph(spark, d, "true"))
 
 
 def event_loss(spark, d):
-    return report.event_losses(report.event_wiring(*_bucket_graph(spark, d, _BEFORE)), report.event_wiring(*_bucket_graph(spark, d, _AFTER)))
+    """The first half of the month against the second; buckets that only one kind of event reaches there lose a side."""
+    return report.event_losses(report.event_wiring(*_bucket_graph(spark, d, _FIRST_HALF)), report.event_wiring(*_bucket_graph(spark, d, _SECOND_HALF)))
 
 
 def _wiring_sql(where: str) -> str:
@@ -152,28 +154,12 @@ FROM range(97) b LEFT JOIN (SELECT * FROM events WHERE event_type <> 'error' AND
 
 
 LOSS_SQL = f"""
-WITH b AS ({_wiring_sql(_BEFORE)}), a AS ({_wiring_sql(_AFTER)})
+WITH b AS ({_wiring_sql(_FIRST_HALF)}), a AS ({_wiring_sql(_SECOND_HALF)})
 SELECT event, NOT coalesce(a.produced, false) lost_producer, NOT coalesce(a.consumed, false) lost_consumer
 FROM b LEFT JOIN a USING (event) WHERE b.produced AND b.consumed AND NOT (coalesce(a.produced, false) AND coalesce(a.consumed, false))
 """
 
 
-_FIRST_HALF, _SECOND_HALF = "ts < timestamp_ntz '2024-01-16 00:00:00'", "ts >= timestamp_ntz '2024-01-16 00:00:00'"
-
-
-def whole_cyclic_reach(spark, d):
-    return cyclic_reach(spark, d, "true")
-
-
-def whole_event_wiring(spark, d):
-    return report.event_wiring(*_bucket_graph(spark, d, "true"))
-
-
-def whole_event_loss(spark, d):
-    """The two halves of all events, not their first day and last hours."""
-    return report.event_losses(report.event_wiring(*_bucket_graph(spark, d, _FIRST_HALF)), report.event_wiring(*_bucket_graph(spark, d, _SECOND_HALF)))
-
-
 def file_seed_filter(spark, d):
     return traverse.file_seeds(fk_nodes(spark, d), "BUILDING")
 
@@ -203,7 +189,7 @@ def _with(body: str, weighed: bool = False) -> str:
     return f"WITH {fk_sql(weighed)}\n{body}"
 
 
-QUERIES = {f.__name__: f for f in (direct_dependents, indirect_dependents, weakest_link_confidence, heuristic_stop, explain_via, explain_off, min_confidence_filter, summary_by_file, affected_tests, report_counts, bucket_fold, cyclic_reach, implements_both_ways, contracts_touched, event_wiring, event_loss, file_seed_filter, diff_overlap, whole_cyclic_reach, whole_event_wiring, whole_event_loss)}
+QUERIES = {f.__name__: f for f in (direct_dependents, indirect_dependents, weakest_link_confidence, heuristic_stop, explain_via, explain_off, min_confidence_filter, summary_by_file, affected_tests, report_counts, bucket_fold, cyclic_reach, implements_both_ways, contracts_touched, event_wiring, event_loss, file_seed_filter, diff_overlap)}
 
 ORACLES = {
     "direct_dependents": _with("SELECT path, file, line, c confidence FROM d WHERE bucket = 'direct'"),
@@ -220,11 +206,8 @@ ORACLES = {
     "cyclic_reach": CYCLIC_SQL,
     "implements_both_ways": IMPLEMENTS_SQL,
     "contracts_touched": CONTRACTS_SQL,
-    "event_wiring": _wiring_sql(_BEFORE),
+    "event_wiring": _wiring_sql("true"),
     "event_loss": LOSS_SQL,
     "file_seed_filter": f"WITH {fk_sql()} SELECT id FROM n WHERE file = 'BUILDING'",
     "diff_overlap": OVERLAP_SQL,
-    "whole_cyclic_reach": whole(CYCLIC_SQL, " WHERE l_quantity >= 40 AND l_linenumber = 1"),
-    "whole_event_wiring": _wiring_sql("true"),
-    "whole_event_loss": LOSS_SQL.replace(_wiring_sql(_BEFORE), _wiring_sql(_FIRST_HALF)).replace(_wiring_sql(_AFTER), _wiring_sql(_SECOND_HALF)),
 }
