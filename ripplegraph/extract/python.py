@@ -50,7 +50,7 @@ def _own(node: ast.AST) -> Iterator[ast.AST]:
         yield from _own(child)
 
 
-def extract(file: str, module: str, text: str) -> Extract:
+def extract(file: str, module: str, text: str, config: dict | None = None) -> Extract:
     tree, out = _parsed(text), Extract()
     name = file.rsplit("/", 1)[-1]
     test_file = name.startswith("test_") or name.endswith("_test.py")
@@ -118,16 +118,18 @@ def extract(file: str, module: str, text: str) -> Extract:
                 else:
                     out.refs.append(Ref(owner, f.attr, "Calls", "Opaque", ""))
 
+    frameworks = set((config or {}).get("api_frameworks", ("fastapi", "flask")))
+
     def routes(s: ast.FunctionDef | ast.AsyncFunctionDef, path: str) -> None:
         for d in s.decorator_list:
             if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str)):
                 continue
             verb = d.func.attr
-            if verb == "route":
+            if verb == "route" and "flask" in frameworks:
                 methods = next((k.value for k in d.keywords if k.arg == "methods"), None)
                 first = next((e.value for e in getattr(methods, "elts", []) if isinstance(e, ast.Constant)), "GET")
                 out.contracts.append(ContractRef("ApiRoute", f"{str(first).upper()} {d.args[0].value}", path, "produces"))
-            elif verb in VERBS:
+            elif verb in VERBS and frameworks & {"fastapi", "flask"}:
                 out.contracts.append(ContractRef("ApiRoute", f"{verb.upper()} {d.args[0].value}", path, "produces"))
 
     def function(s, prefix: str, cls: str | None) -> None:

@@ -20,13 +20,16 @@ SCHEMA = f"file string, language string, generated boolean, symbols array<{SYMBO
 ADAPTERS = {
     "rust": braces.rust,
     "typescript": braces.script,
-    "python": lambda file, module, text, config: python.extract(file, module, text),
+    "python": python.extract,
     "go": braces.go,
     "kotlin": lambda file, module, text, config: braces.plain("kotlin", file, module, text),
     "swift": lambda file, module, text, config: braces.plain("swift", file, module, text),
     "cpp": braces.cpp,
 }
 
+#: Frameworks of which one must be configured for an adapter's routes; Python's adapter tells its own apart.
+ROUTE_FRAMEWORKS = {"rust": {"axum"}, "typescript": {"express", "fastify"}, "go": {"net/http"}}
+
 
 def extracted(files: DataFrame, config: Config, aliases: list | None = None) -> DataFrame:
     """One row for each file (file, language, content): its symbols, references and contract references."""
@@ -37,6 +40,8 @@ def extracted(files: DataFrame, config: Config, aliases: list | None = None) ->
             rows = []
             for file, language, module, text in zip(b["file"], b["language"], b["module"], b["content"], strict=True):
                 x = ADAPTERS[language](file, module, text or "", settings)
+                if language in ROUTE_FRAMEWORKS and not ROUTE_FRAMEWORKS[language] & set(settings["api_frameworks"]):
+                    x.contracts = [c for c in x.contracts if c.kind != "ApiRoute"]
                 rows.append((file, language, x.generated, [s.__dict__ for s in x.symbols], [r.__dict__ for r in x.refs], [c.__dict__ for c in x.contracts]))
             yield pd.DataFrame(rows, columns=["file", "language", "generated", "symbols", "refs", "contracts"])
 

@@ -45,50 +45,49 @@ def _requests(refs: DataFrame, nodes: DataFrame, pk: DataFrame) -> DataFrame:
     return rows.withColumn("request", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in key]))
 
 
-def _universe(nodes: DataFrame, scopes: DataFrame, pk: DataFrame) -> DataFrame:
-    """nodes that each scope (language, package, as_test) sees: contracts, or its language in visible packages.
+def _sight(seen: DataFrame) -> resolve.Sight:
+    """What requests (language, package, as_test) see: contracts; of their language, nodes without a package and those of visible ones.
 
-    Scopes are as many as packages, not as references.
+    Candidates meet by name first; only they are held against visibility, so no
+    node is copied for a scope.
     """
-    owner = packages.owners(nodes.select("language", "file").distinct(), pk).withColumnRenamed("root", "target")
-    owned = nodes.join(owner, ["language", "file"], "left")
-    seen = packages.visible(pk)
-    s = scopes.withColumn("scope", F.struct("language", "package", "as_test"))
-    plain = s.where("package IS NULL").select("scope", "language").join(owned.where("kind <> 'Contract'"), "language")
-    inside = s.where("package IS NOT NULL")
-    free = inside.select("scope", "language").join(owned.where("kind <> 'Contract' AND target IS NULL"), "language")
-    met = inside.join(seen, ["language", "package", "as_test"]).select("scope", "language", "target").join(owned.where("kind <> 'Contract'"), ["language", "target"])
-    # Contracts are seen from everywhere; one row of scopes for each is a join on a constant language.
-    shared = s.select("scope", F.lit("").alias("none")).join(owned.where("kind = 'Contract'").withColumn("none", F.lit("")), "none")
-    parts = [x.select("scope", *nodes.columns) for x in (plain, free, met, shared)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    mark = seen.select(F.col("language").alias("s_language"), F.col("package").alias("s_package"), F.col("as_test").alias("s_test"), F.col("target").alias("s_target")).distinct().withColumn("seen", F.lit(True))
+
+    def allow(hits: DataFrame) -> DataFrame:
+        same = (F.col("language") == F.col("s_language")) & (F.col("package") == F.col("s_package")) & (F.col("as_test") == F.col("s_test")) & (F.col("node_package") == F.col("s_target"))
+        free = F.col("package").isNull() | F.col("node_package").isNull() | F.coalesce("seen", F.lit(False))
+        return hits.join(mark, same, "left").where((F.col("node_kind") == "Contract") | ((F.col("node_language") == F.col("language")) & free))
+
+    return allow
 
 
 def link(nodes: DataFrame, refs: DataFrame, contract_refs: DataFrame, pk: DataFrame) -> DataFrame:
     """Distinct edges (from_id, to_id, kind, confidence)."""
     nodes, pk = stored(nodes, "nodes"), stored(pk, "packages")
     rows = stored(_requests(refs, nodes, pk), "requests")
-    asks = rows.select("request", "language", "package", "as_test", "tag", "module", "name", "inside").distinct().withColumn("scope", F.struct("language", "package", "as_test"))
-    universe = stored(_universe(nodes, asks.select("language", "package", "as_test").distinct(), pk), "universe")
+    asks = rows.select("request", "language", "package", "as_test", "tag", "module", "name", "inside").distinct()
+    owner = packages.owners(nodes.select("language", "file").distinct(), pk).withColumnRenamed("root", "node_package")
+    universe = stored(nodes.join(owner, ["language", "file"], "left").withColumns({"node_kind": F.col("kind"), "node_language": F.col("language")}).drop("language"), "universe")
+    allow, scope = _sight(stored(packages.visible(pk), "visible")), ["language", "package", "as_test"]
 
     def tiers(q: DataFrame) -> DataFrame:
-        return resolve.resolve_names(q.select("request", "scope", "name"), universe, ["request", "scope"], ["scope"]).select("request", "id", "confidence")
+        return resolve.resolve_names(q.select("request", *scope, "name"), universe, ["request"], allow=allow).select("request", "id", "confidence")
 
     opaque = tiers(asks.where("tag = 'Opaque'")).withColumn("confidence", F.least("confidence", F.lit(PROBABLE)))
     unscoped = tiers(asks.where("tag = 'Unscoped'"))
 
     barrels = stored(reexports(refs), "reexports")
     scoped = asks.where("tag = 'Module'")
-    declared = resolve.in_module(scoped.where(F.col("name") != MODULE).select("request", "scope", "module", "name"), universe, ["request", "scope"], ["scope"])
-    modules = resolve.module_scope(scoped.where(F.col("name") == MODULE).select("request", "scope", "module"), universe, ["request", "scope"], ["scope"])
+    declared = resolve.in_module(scoped.where(F.col("name") != MODULE).select("request", *scope, "module", "name"), universe, ["request"], allow=allow)
+    modules = resolve.module_scope(scoped.where(F.col("name") == MODULE).select("request", *scope, "module"), universe, ["request"], allow=allow)
     default = asks.where("tag = 'ModuleDefault'")
-    direct_default = resolve.default_export(default.select("request", "scope", "module"), universe, ["request", "scope"], ["scope"])
+    direct_default = resolve.default_export(default.select("request", *scope, "module"), universe, ["request"], allow=allow)
     # Re-exported names: where they come from, looked up like direct ones.
-    wanted = scoped.where(F.col("name") != MODULE).select("request", "scope", "module", "name").unionByName(default.select("request", "scope", "module", F.lit("default").alias("name")))
+    wanted = scoped.where(F.col("name") != MODULE).select("request", *scope, "module", "name").unionByName(default.select("request", *scope, "module", F.lit("default").alias("name")))
     targets = stored(resolve.reexport_targets(wanted, barrels), "targets")
-    met = wanted.join(targets, ["module", "name"]).select("request", "scope", F.col("target_module").alias("module"), F.col("target_name").alias("name"))
-    via_name = resolve.in_module(met.where("name <> 'default'").withColumn("hop", F.concat_ws("\x00", "module", "name")), universe, ["request", "scope", "hop"], ["scope"])
-    via_default = resolve.default_export(met.where("name = 'default'").withColumn("hop", F.col("module")), universe, ["request", "scope", "hop"], ["scope"])
+    met = wanted.join(targets, ["module", "name"]).select("request", *scope, F.col("target_module").alias("module"), F.col("target_name").alias("name"))
+    via_name = resolve.in_module(met.where("name <> 'default'").withColumn("hop", F.concat_ws("\x00", "module", "name")), universe, ["request", "hop"], allow=allow)
+    via_default = resolve.default_export(met.where("name = 'default'").withColumn("hop", F.col("module")), universe, ["request", "hop"], allow=allow)
     through = via_name.select("request", "id").unionByName(via_default.select("request", "id")).distinct()
     renamed = scoped.join(barrels.where("origin IS NOT NULL AND origin <> name").select(F.col("barrel").alias("module"), "name").distinct(), ["module", "name"], "left_semi").where("NOT inside").select("request")
 

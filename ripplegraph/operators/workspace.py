@@ -21,20 +21,12 @@ def link_tiers(matches: DataFrame, links: DataFrame, source: str) -> DataFrame:
     """matches with link: declared (a link names the contract and the other project), strong (the projects alone), weak."""
     ours, other = F.lit(source), F.col("project")
     our_contract, their_contract = F.concat(ours, F.lit(":"), F.col("contract_id")), F.concat(other, F.lit(":"), F.col("contract_id"))
-
-    def pairs(exact, bare, qualified):
-        return ((F.col("produces") == exact) & F.col("consumes").isin(bare, qualified)) | ((F.col("consumes") == exact) & F.col("produces").isin(bare, qualified))
-
-    def either(a, b):
-        return F.col("produces").isin(a) & F.col("consumes").isin(b)
-
-    declared = pairs(our_contract, other, their_contract) | pairs(their_contract, ours, our_contract)
-    strong = ((F.col("produces") == ours) & (F.col("consumes") == other)) | ((F.col("consumes") == ours) & (F.col("produces") == other))
-    tier = F.when(declared, 2).when(strong, 1).otherwise(0)
+    # A link holds either way round; each pair of ends that would link a match is an equality key.
+    ends = [(our_contract, other, 2), (our_contract, their_contract, 2), (their_contract, ours, 2), (ours, other, 1)]
+    asked = F.explode(F.array(*[F.struct(a.alias("x"), b.alias("y"), F.lit(t).alias("t")) for a, b, t in ends])).alias("e")
+    both = links.select(F.col("produces").alias("x"), F.col("consumes").alias("y"))
+    both = both.unionByName(links.select(F.col("consumes").alias("x"), F.col("produces").alias("y"))).distinct().withColumn("linked", F.lit(1))
     keys = matches.columns
-    rated = matches.join(F.broadcast(links.limit(MOST_LINKS)), declared | strong, "left").groupBy(*keys).agg(F.max(tier).alias("t"))
-    return rated.select(*keys, F.element_at(F.array(F.lit("weak"), F.lit("strong"), F.lit("declared")), F.coalesce("t", F.lit(0)) + 1).alias("link"))
-
-
-#: A workspace file's links; more would not be a file that people write.
-MOST_LINKS = 100_000
+    met = matches.select(*keys, asked).select(*keys, "e.x", "e.y", "e.t").join(both, ["x", "y"], "left")
+    rated = met.groupBy(*keys).agg(F.max(F.when(F.col("linked") == 1, F.col("t")).otherwise(0)).alias("t"))
+    return rated.select(*keys, F.element_at(F.array(F.lit("weak"), F.lit("strong"), F.lit("declared")), F.col("t") + 1).alias("link"))

@@ -108,10 +108,3 @@ def _hop_sql(k: int) -> str:
     WHERE h.c > 0 AND e.f NOT IN ({seen})
   ) WHERE r = 1
 )"""
-
-
-def whole(sql: str, cut: str) -> str:
-    """The SQL without the row filter ``cut``: over whole tables."""
-    if cut not in sql:
-        raise ValueError(f"not in the SQL: {cut}")
-    return sql.replace(cut, "")

@@ -11,7 +11,7 @@ from ..functions.diffs import diff_touches
 from ..operators import contracts, packages, resolve, workspace
 from ..schema import EXACT
 from ..sources.shared import stored
-from .graphs import table, whole
+from .graphs import table
 
 
 def part_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -117,9 +117,9 @@ SELECT m AS module, o AS id, CASE WHEN count(*) OVER (PARTITION BY m) > 1 THEN 1
 """
 
 
-def reexport_closure(spark, d, customers="c_custkey < 200"):
+def reexport_closure(spark, d):
     """Nations re-export everything to their region's barrel, customers by name to their nation's; cyclic barrels end."""
-    n, r, c = table(spark, d, "nation"), table(spark, d, "region"), table(spark, d, "customer").where(customers)
+    n, r, c = table(spark, d, "nation"), table(spark, d, "region"), table(spark, d, "customer")
     up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("barrel"), F.lit("*").alias("name"), F.lit(None).cast("string").alias("origin"), F.col("n_name").alias("to_module"))
     named = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("barrel"), F.concat(F.lit("c"), (F.col("c_custkey") % 10).cast("string")).alias("name"), F.col("c_name").alias("origin"), F.col("c_mktsegment").alias("to_module"))
     back = named.select(F.col("to_module").alias("barrel"), F.col("origin").alias("name"), F.lit(None).cast("string").alias("origin"), F.col("barrel").alias("to_module"))
@@ -130,8 +130,8 @@ def reexport_closure(spark, d, customers="c_custkey < 200"):
 REEXPORT_SQL = """
 WITH RECURSIVE x AS (
   SELECT r_name b, '*' nm, NULL::VARCHAR o, n_name t FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION SELECT n_name, 'c' || (c_custkey % 10), c_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 200
-  UNION SELECT c_mktsegment, c_name, NULL, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 200),
+  UNION SELECT n_name, 'c' || (c_custkey % 10), c_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT c_mktsegment, c_name, NULL, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 w(module, name, m, n) AS (
   SELECT r_name, 'c' || i.range, r_name, 'c' || i.range FROM region, range(10) i
   UNION
@@ -171,46 +171,44 @@ SELECT DISTINCT h.id from_id, h.c to_id, h.kind, CASE WHEN (SELECT count(*) FROM
 """
 
 
-def interface_division(spark, d, interfaces="l_orderkey < 200"):
-    """Interfaces are orders' sets of suppliers' nations; types are customers with those nations among their orders' suppliers."""
-    line = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").cast("string").alias("name")).distinct()
-    specs = line.where(interfaces)
+def interface_division(spark, d):
+    """Interfaces are orders' sets of parts; types are customers with all those parts among their orders."""
+    line = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("name")).distinct()
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     methods = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("string").alias("owner"), "name").distinct()
-    s = specs.select(F.lit("x").alias("language"), F.col("l_orderkey").cast("string").alias("owner"), "name", F.lit("()").alias("signature"), F.concat_ws("/", F.col("l_orderkey").cast("string"), "name").alias("id"))
+    s = line.select(F.lit("x").alias("language"), F.col("l_orderkey").cast("string").alias("owner"), "name", F.lit("()").alias("signature"), F.concat_ws("/", F.col("l_orderkey").cast("string"), "name").alias("id"))
     m = methods.select(F.lit("x").alias("language"), "owner", "name", F.lit("()").alias("signature"), F.concat_ws("/", F.lit("c"), "owner", "name").alias("id"))
     return packages.implementations(s, m)
 
 
 DIVISION_SQL = """
-WITH l AS (SELECT DISTINCT l_orderkey o, s_nationkey n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-i AS (SELECT * FROM l WHERE o < 200), m AS (SELECT DISTINCT o_custkey c, n FROM l JOIN orders ON o = o_orderkey),
-p AS (SELECT i.o, m.c FROM (SELECT DISTINCT o FROM i) i, (SELECT DISTINCT c FROM m) m
-      WHERE NOT EXISTS (SELECT 1 FROM i i2 WHERE i2.o = i.o AND NOT EXISTS (SELECT 1 FROM m m2 WHERE m2.c = m.c AND m2.n = i2.n)))
-SELECT 'c/' || p.c || '/' || i.n from_id, p.o || '/' || i.n to_id, 'Implements' kind, 2 confidence FROM p JOIN i ON i.o = p.o
+WITH l AS (SELECT DISTINCT l_orderkey o, l_partkey n FROM lineitem), w AS (SELECT o, count(*) parts FROM l GROUP BY o),
+m AS (SELECT DISTINCT o_custkey c, n FROM l JOIN orders ON o = o_orderkey),
+p AS (SELECT l.o, m.c FROM l JOIN m USING (n) JOIN w USING (o) GROUP BY l.o, m.c, parts HAVING count(*) = parts)
+SELECT 'c/' || p.c || '/' || l.n from_id, p.o || '/' || l.n to_id, 'Implements' kind, 2 confidence FROM p JOIN l ON l.o = p.o
 """
 
 
-def _trade(spark, d, orders) -> DataFrame:
-    """Packages are nations; one depends on the nations that supply its orders, by default its first ones."""
-    o = table(spark, d, "orders").where(orders).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+def _trade(spark, d) -> DataFrame:
+    """Packages are nations; one depends on the nations that supply its orders."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     line = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = o.join(line, F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.where("c_nationkey < s_nationkey").select(F.col("c_nationkey").cast("string").alias("package"), F.col("s_nationkey").cast("string").alias("target"), (F.col("l_linenumber") % 2 == 0).alias("dev"))
 
 
-def package_closure(spark, d, orders="o_orderkey < 60"):
+def package_closure(spark, d):
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("package"))
-    return packages.closure(_trade(spark, d, orders).where("NOT dev"), nodes)
+    return packages.closure(_trade(spark, d).where("NOT dev"), nodes)
 
 
-_TRADE_SQL = """t AS (SELECT DISTINCT c_nationkey::VARCHAR p, s_nationkey::VARCHAR g, l_linenumber % 2 = 0 dev FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey < 60 AND c_nationkey < s_nationkey),
+_TRADE_SQL = """t AS (SELECT DISTINCT c_nationkey::VARCHAR p, s_nationkey::VARCHAR g, l_linenumber % 2 = 0 dev FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey),
 w(package, target) AS (SELECT n_nationkey::VARCHAR, n_nationkey::VARCHAR FROM nation UNION SELECT w.package, t.g FROM w JOIN t ON t.p = w.target AND NOT t.dev)"""
 CLOSURE_SQL = f"WITH RECURSIVE {_TRADE_SQL} SELECT package, target FROM w"
 
 
-def package_visibility(spark, d, orders="o_orderkey < 60"):
-    deps = _trade(spark, d, orders).distinct().groupBy("package").agg(F.collect_list(F.struct(F.concat(F.lit("n"), "target").alias("package"), F.col("target").alias("import_name"), F.col("dev").alias("dev_only"))).alias("dependencies"))
+def package_visibility(spark, d):
+    deps = _trade(spark, d).distinct().groupBy("package").agg(F.collect_list(F.struct(F.concat(F.lit("n"), "target").alias("package"), F.col("target").alias("import_name"), F.col("dev").alias("dev_only"))).alias("dependencies"))
     rows = table(spark, d, "nation").select(F.lit("rust").alias("language"), F.col("n_nationkey").cast("string").alias("root"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"))
     pk = rows.join(deps.withColumnRenamed("package", "root"), "root", "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<struct<package: string, import_name: string, dev_only: boolean>>")))
     return packages.visible(stored(pk, "packages"))
@@ -222,9 +220,9 @@ UNION SELECT 'rust', package, target, true FROM w
 UNION SELECT 'rust', t.p, w.target, true FROM t JOIN w ON w.package = t.g WHERE t.dev"""
 
 
-def import_rewrite(spark, d, orders="o_orderkey < 60"):
+def import_rewrite(spark, d):
     """References by customers' nations to modules that start with a nation's name."""
-    deps = _trade(spark, d, orders).where("NOT dev").select("package", "target").distinct().groupBy("package").agg(F.collect_list(F.struct(F.concat(F.lit("n"), "target").alias("package"), F.concat(F.lit("use"), "target").alias("import_name"), F.lit(False).alias("dev_only"))).alias("dependencies"))
+    deps = _trade(spark, d).where("NOT dev").select("package", "target").distinct().groupBy("package").agg(F.collect_list(F.struct(F.concat(F.lit("n"), "target").alias("package"), F.concat(F.lit("use"), "target").alias("import_name"), F.lit(False).alias("dev_only"))).alias("dependencies"))
     rows = table(spark, d, "nation").select(F.lit("rust").alias("language"), F.col("n_nationkey").cast("string").alias("root"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("use"), F.col("n_nationkey").cast("string")).alias("import_name"), F.concat(F.lit("crates::"), "n_name").alias("module_root"))
     pk = stored(rows.join(deps.withColumnRenamed("package", "root"), "root", "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<struct<package: string, import_name: string, dev_only: boolean>>"))), "packages")
     refs = table(spark, d, "customer").select(F.lit("rust").alias("language"), F.col("c_nationkey").cast("string").alias("package"), F.concat(F.lit("use"), (F.col("c_custkey") % 25).cast("string"), F.lit("::"), "c_mktsegment").alias("target_module"), "c_custkey")
@@ -253,21 +251,21 @@ SELECT f AS file, arg_max(r, length(r)) root FROM (SELECT DISTINCT f FROM p) JOI
 """
 
 
-def _regions(spark, d, lines) -> tuple[DataFrame, DataFrame]:
+def _regions(spark, d) -> tuple[DataFrame, DataFrame]:
     """Contracts are part types by a supplier's region; regions are projects."""
-    rows = table(spark, d, "lineitem").where(lines).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     nodes = rows.select(F.col("r_name").alias("project"), F.lit("Contract").alias("kind"), F.lit("ApiRoute").alias("contract_kind"), F.concat_ws("/", "p_type", (F.col("p_size") % 4).cast("string")).alias("qualified_path")).distinct()
     return nodes, spark.createDataFrame([("ASIA", "EUROPE"), ("ASIA:STANDARD/1", "AFRICA"), ("AMERICA", "ASIA:SMALL/2")], "produces string, consumes string")
 
 
-def cross_project(spark, d, lines="l_linenumber = 1 AND l_quantity >= 45"):
-    nodes, links = _regions(spark, d, lines)
+def cross_project(spark, d):
+    nodes, links = _regions(spark, d)
     touched = nodes.where("project = 'ASIA'").select("contract_kind", F.col("qualified_path").alias("contract_id"))
     return workspace.cross_project(touched, nodes, links, "ASIA")
 
 
 CROSS_SQL = """
-WITH c AS (SELECT DISTINCT r_name p, p_type || '/' || (p_size % 4) i FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_linenumber = 1 AND l_quantity >= 45),
+WITH c AS (SELECT DISTINCT r_name p, p_type || '/' || (p_size % 4) i FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 l(a, b) AS (VALUES ('ASIA', 'EUROPE'), ('ASIA:STANDARD/1', 'AFRICA'), ('AMERICA', 'ASIA:SMALL/2'))
 SELECT o.p project, 'ApiRoute' contract_kind, o.i contract_id,
   CASE WHEN EXISTS (SELECT 1 FROM l WHERE (a = 'ASIA:' || o.i AND b IN (o.p, o.p || ':' || o.i)) OR (b = 'ASIA:' || o.i AND a IN (o.p, o.p || ':' || o.i)) OR (a = o.p || ':' || o.i AND b IN ('ASIA', 'ASIA:' || o.i)) OR (b = o.p || ':' || o.i AND a IN ('ASIA', 'ASIA:' || o.i))) THEN 'declared'
@@ -393,32 +391,7 @@ SELECT 'Opaque' tag, c confidence, count(*) n FROM o GROUP BY ALL UNION ALL SELE
 """
 
 
-def whole_reexport_closure(spark, d):
-    return reexport_closure(spark, d, "true")
-
-
-def whole_interface_division(spark, d):
-    """Every order is an interface: the result has about orders x customers rows."""
-    return interface_division(spark, d, "true")
-
-
-def whole_package_closure(spark, d):
-    return package_closure(spark, d, "true")
-
-
-def whole_package_visibility(spark, d):
-    return package_visibility(spark, d, "true")
-
-
-def whole_import_rewrite(spark, d):
-    return import_rewrite(spark, d, "true")
-
-
-def whole_cross_project(spark, d):
-    return cross_project(spark, d, "true")
-
-
-QUERIES = {f.__name__: f for f in (resolve_exact, resolve_last_two, resolve_short, bare_name_hint, module_scoped_resolve, default_export_resolve, module_scope_resolve, reexport_closure, contract_synthesis, contract_links, interface_division, package_closure, package_visibility, import_rewrite, owner_longest_prefix, cross_project, link_tier, diff_parse, change_parse, sql_tables_word_rule, signature_normalise, route_graph, stable_ids, ref_confidence_by_tag, whole_reexport_closure, whole_interface_division, whole_package_closure, whole_package_visibility, whole_import_rewrite, whole_cross_project)}
+QUERIES = {f.__name__: f for f in (resolve_exact, resolve_last_two, resolve_short, bare_name_hint, module_scoped_resolve, default_export_resolve, module_scope_resolve, reexport_closure, contract_synthesis, contract_links, interface_division, package_closure, package_visibility, import_rewrite, owner_longest_prefix, cross_project, link_tier, diff_parse, change_parse, sql_tables_word_rule, signature_normalise, route_graph, stable_ids, ref_confidence_by_tag)}
 ORACLES = {
     "resolve_exact": _tier_sql("path"),
     "resolve_last_two": _tier_sql("seg[-2] || '::' || seg[-1]"),
@@ -444,10 +417,4 @@ ORACLES = {
     "route_graph": ROUTE_SQL,
     "stable_ids": IDS_SQL,
     "ref_confidence_by_tag": TAG_SQL,
-    "whole_reexport_closure": whole(REEXPORT_SQL, " WHERE c_custkey < 200"),
-    "whole_interface_division": whole(DIVISION_SQL, " WHERE o < 200"),
-    "whole_package_closure": whole(CLOSURE_SQL, "o_orderkey < 60 AND "),
-    "whole_package_visibility": whole(VISIBLE_SQL, "o_orderkey < 60 AND "),
-    "whole_import_rewrite": whole(REWRITE_SQL, "o_orderkey < 60 AND "),
-    "whole_cross_project": whole(CROSS_SQL, " WHERE l_linenumber = 1 AND l_quantity >= 45"),
 }

@@ -16,11 +16,12 @@ MANIFESTS = r"(^|/)Cargo\.toml$"
 
 @dataclass
 class Config:
-    """Detector settings with their defaults; ``parse`` lays a file's values over them."""
+    """Detector settings; ``parse`` lays a file's values over the defaults."""
 
-    api_frameworks: list[str] = field(default_factory=lambda: ["axum"])
+    #: The defaults.
+    api_frameworks: list[str] = field(default_factory=lambda: ["axum", "net/http", "fastapi", "flask", "express", "fastify"])
     event_strategy: str = "marker_trait"
-    event_marker_trait: str = "DomainEvent"
+    event_marker_trait: str = "Event"
     event_naming_suffix: str = "Event"
     database_macros: list[str] = field(default_factory=lambda: ["query", "query_as", "query_scalar"])
     exclude: list[str] = field(default_factory=list)

@@ -73,7 +73,7 @@ def test_errors(spark, engine, tmp_path):
 
 
 def test_lost_side_of_an_event_is_told_once(spark, tmp_path):
-    event = "pub struct Paid { pub id: i32 }\nimpl DomainEvent for Paid {}\n"
+    event = "pub struct Paid { pub id: i32 }\nimpl Event for Paid {}\n"
     send = "use crate::event::Paid;\npub fn pay() { emit(Paid { id: 1 }); }\n"
     take = "use crate::event::Paid;\npub fn on_paid(e: Paid) { log(e); }\n"
     e = Engine(spark, str(tmp_path), "p")
