@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import time
+from typing import IO
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .extract import run as extract
 from .functions.changes import parse_change
 from .functions.diffs import diff_lines, diff_touches
-from .operators import contracts, link, report, resolve, traverse, usage, workspace
+from .operators import contracts, link, render, report, resolve, traverse, usage, workspace
 from .schema import EDGES, struct
 from .sources import files as sources
 from .sources import store as st
 from .sources.shared import stored
 
 
+#: Where a project's index lies when no other folder is named.
+INDEX_FOLDER = ".ripplegraph"
+
+
 class UnresolvedError(LookupError):
     """A change whose target names no symbol; carries paths that its last segment could mean."""
 
@@ -31,16 +38,33 @@ class Engine:
         self.config, self.aliases = config or sources.Config(), aliases or []
         self.store = st.Store(spark, path)
 
+    @classmethod
+    def over(cls, files: DataFrame, path: str, project: str, config_file: str | None = None) -> Engine:
+        """An engine with the settings among the project's files: a TOML file by its name, and tsconfig.json's aliases."""
+        text = sources.text_of(files, config_file) if config_file else None
+        found = sources.text_of(files, "tsconfig.json")
+        return cls(files.sparkSession, path, project, sources.Config.parse(text) if text else None, sources.path_aliases(found) if found else None)
+
     # ---- indexing ----
 
+    def index_folder(self, root: str, force: bool = False) -> dict:
+        return self.index(sources.scan(self.spark, root, self.project), force)
+
     def index(self, files: DataFrame, force: bool = False) -> dict:
-        """Index (file, content) rows; unchanged files are not parsed again.  Gives counters and lost events."""
+        """Index (file, content) rows; unchanged files are not parsed again.  Gives counters and lost events.
+
+        Hidden, ignored and excluded files are left out; files whose content is
+        null (not UTF-8) are counted as unreadable.
+        """
+        start = time.monotonic()
         if force:
             self.store.clear()
         digest = f"{self.config.digest()} {self.aliases}"
         old = {t: self.store.read_or_empty(t, digest) for t in st.TABLES}
         before = report.event_wiring(old["nodes"], old["edges"])
-        kept = sources.pruned(files, self.config)
+        wanted = sources.pruned(sources.unignored(files), self.config)
+        unreadable = sources.routed(wanted).where("content IS NULL").count()
+        kept = wanted.where("content IS NOT NULL")
         seen = stored(st.hashed(sources.routed(kept)), "seen")
         new, gone = st.changed(seen, old["files"]), st.deleted(old["files"], seen)
         rows = stored(extract.extracted(new, self.config, self.aliases), "extracted")
@@ -55,7 +79,10 @@ class Engine:
         self.store.write({"files": seen.select("file", "content_hash"), "nodes": nodes, "refs": refs, "contract_refs": crefs, "edges": edges, "packages": pk}, digest)
         counts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.filter("symbols", lambda s: s["kind"] != "Module"))), F.lit(0)).alias("s")).first()
         lost = report.event_losses(before, report.event_wiring(nodes, edges)).orderBy("event").collect()
-        return {"files_indexed": counts.n, "files_skipped": seen.count() - counts.n, "files_pruned": gone.count(), "symbols_indexed": counts.s, "edges": edges.count(), "lost_events": [r.asDict() for r in lost]}
+        return {
+            "files_indexed": counts.n, "files_skipped": seen.count() - counts.n, "files_pruned": gone.count(), "files_unreadable": unreadable, "symbols_indexed": counts.s, "edges": edges.count(),
+            "lost_events": [r.asDict() for r in lost], "duration_ms": int((time.monotonic() - start) * 1000),
+        }
 
     # ---- queries ----
 
@@ -63,12 +90,12 @@ class Engine:
         nodes, edges = self.store.read("nodes"), self.store.read("edges")
         seeds = stored(seeds.distinct(), "seeds")
         reached = traverse.reach(nodes, edges, seeds)
-        rows = report.filter_confidence(traverse.dependents(nodes, reached), min_confidence)
+        rows = render.ordered(report.filter_confidence(traverse.dependents(nodes, reached), min_confidence))
         touched = traverse.contracts_touched(nodes, edges, seeds.select("id").unionByName(reached.select("id")))
         return (rows if explain else report.without_chains(rows)), touched
 
     def query_file(self, file: str, **options) -> tuple[DataFrame, DataFrame]:
-        """(dependents, contracts) of a file's symbols."""
+        """(dependents, contracts) of a file's symbols; dependents in a report's order."""
         return self._report(traverse.file_seeds(self.store.read("nodes"), file), **options)
 
     def query_symbol(self, path: str, **options) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +114,22 @@ class Engine:
         return self._report(traverse.diff_seeds(self.store.read("nodes"), diff_touches(diff_lines(self.spark, text))), **options)
 
     @staticmethod
-    def summarize(dependents: DataFrame, limit: int = 3) -> DataFrame:
-        return report.summary_by_file(dependents, limit)
+    def summarize(dependents: DataFrame, limit: int = report.GROUP_LIMIT) -> DataFrame:
+        """Indirect dependents by file, in the order of files."""
+        return report.summary_by_file(dependents, limit).orderBy("file")
+
+    @staticmethod
+    def write(found: tuple[DataFrame, DataFrame], out: IO[str], summary: bool = False, as_json: bool = False, cross: DataFrame | None = None) -> None:
+        """A report as text or JSON, whole or as a summary, with contracts of other projects when given."""
+        rows, touched = stored(found[0], "dependents"), stored(found[1], "touched")
+        if as_json:
+            fields = render.summary_fields(rows, touched) if summary else render.json_fields(rows, touched)
+            render.write_json(fields | ({} if cross is None else {"cross_project": render.cross_project_json(cross)}), out)
+            return
+        render.write_text(render.summary_lines(rows, touched) if summary else render.text_lines(rows, touched), out)
+        if cross is not None:
+            out.write("CROSS-PROJECT\n")
+            render.write_text(render.cross_project_lines(cross), out)
 
     @staticmethod
     def affected_tests(dependents: DataFrame) -> DataFrame:
@@ -106,7 +147,16 @@ class Engine:
             all_nodes = nodes if all_nodes is None else all_nodes.unionByName(nodes)
         if source not in projects:
             raise KeyError(f"{source} is not a project of the workspace")
-        return workspace.cross_project(touched, all_nodes, links, source)
+        return workspace.cross_project(touched, all_nodes, links, source).orderBy("project", "contract_kind", "contract_id")
+
+    def workspace_matches(self, touched: DataFrame, text: str, base: str, here: str) -> DataFrame:
+        """Touched contracts in the other projects of a workspace file's text; this project is the one at ``here``."""
+        projects, links = sources.parse_workspace(text, base)
+        source = next((p for p, path, _ in projects if path == here), None)
+        if source is None:
+            raise KeyError(f"{here} is not a project of the workspace")
+        engines = {p: self if p == source else Engine(self.spark, index or f"{path}/{INDEX_FOLDER}", p) for p, path, index in projects}
+        return self.cross_project(touched, engines, self.spark.createDataFrame(links, "produces string, consumes string"), source)
 
     @staticmethod
     def gain(events: DataFrame, period: str = "daily") -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: entries that a summary shows of each file.
+GROUP_LIMIT = 3
+
+
 def filter_confidence(dependents: DataFrame, least: int) -> DataFrame:
     """Hide weak dependents; what was reached, and the contracts, stay as they are."""
     return dependents.where(F.col("confidence") >= least)
@@ -28,11 +32,11 @@ def affected_tests(dependents: DataFrame) -> DataFrame:
     return dependents.where("is_test").groupBy("path").agg(F.max_by(F.struct("file", "line", "confidence", "via"), "bucket").alias("d")).select("path", "d.*")
 
 
-def summary_by_file(dependents: DataFrame, limit: int = 3) -> DataFrame:
+def summary_by_file(dependents: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """(file, count, shown): indirect dependents by file with the first few by line and path."""
     by = Window.partitionBy("file")
     rows = dependents.where("bucket = 'indirect'").withColumns({"n": F.row_number().over(by.orderBy("line", "path")), "count": F.count(F.lit(1)).over(by)})
-    shown = F.array_sort(F.collect_list(F.struct("line", "path")))
+    shown = F.array_sort(F.collect_list(F.struct("line", "path", "confidence", "via")))
     return rows.where(F.col("n") <= limit).groupBy("file", "count").agg(shown.alias("shown"))
 
 

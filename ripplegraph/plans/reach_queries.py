@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import report, traverse
+from ..operators import render, report, traverse
 from ..schema import EXACT
 from ..sources.shared import stored
 from .graphs import fk_edges, fk_nodes, fk_sql, seed, table
@@ -57,8 +57,20 @@ def affected_tests(spark, d):
 
 
 def report_counts(spark, d):
-    none = spark.createDataFrame([], "contract_kind string, contract_id string")
-    return report.counts(_dependents(spark, d, True), none).select("direct", "indirect", "tests", "api")
+    return report.counts(_dependents(spark, d, True), contracts_touched(spark, d))
+
+
+def _report(spark, d, lines):
+    return lines(stored(_dependents(spark, d, True), "dependents"), stored(contracts_touched(spark, d), "touched"))
+
+
+def report_text(spark, d):
+    """A whole report's lines with their places, chains included."""
+    return _report(spark, d, render.text_lines)
+
+
+def report_summary(spark, d):
+    return _report(spark, d, render.summary_lines)
 
 
 def bucket_fold(spark, d):
@@ -189,7 +201,37 @@ def _with(body: str, weighed: bool = False) -> str:
     return f"WITH {fk_sql(weighed)}\n{body}"
 
 
-QUERIES = {f.__name__: f for f in (direct_dependents, indirect_dependents, weakest_link_confidence, heuristic_stop, explain_via, explain_off, min_confidence_filter, summary_by_file, affected_tests, report_counts, bucket_fold, cyclic_reach, implements_both_ways, contracts_touched, event_wiring, event_loss, file_seed_filter, diff_overlap)}
+#: Lines that both kinds of report share; x holds the entries of a section.
+_MARK = "CASE c WHEN 2 THEN '' WHEN 1 THEN ' [probable]' ELSE ' [heuristic]' END"
+_LINES = f"""
+k AS ({CONTRACTS_SQL}),
+shared AS (
+  SELECT CASE contract_kind WHEN 'ApiRoute' THEN 2 WHEN 'Event' THEN 3 ELSE 4 END section, '' file, 0 AS "at", contract_id AS name, 0 part, '  ' || contract_id AS text FROM k
+  UNION ALL SELECT 5, '', -1, '', 0, '  ' || count(DISTINCT path) FILTER (is_test) || ' affected tests' FROM d)
+"""
+
+
+def _entry_sql(section: str, where: str) -> str:
+    own = f"SELECT {section}, '', 0, path, 0, '  ' || path || '  ' || file || ':' || line || {_MARK} FROM d WHERE {where}"
+    return f"{own} UNION ALL SELECT {section}, '', 0, path, 1, '    via ' || via FROM d WHERE via <> '' AND {where}"
+
+
+TEXT_SQL = _with(f"""SELECT * FROM shared UNION ALL {_entry_sql("CASE bucket WHEN 'direct' THEN 0 ELSE 1 END", "true")} UNION ALL {_entry_sql("5", "is_test")}
+UNION ALL SELECT h.i, '', -2, '', 0, h.t FROM (VALUES (0, 'DIRECT'), (1, 'INDIRECT'), (2, 'API'), (3, 'EVENTS'), (4, 'DATABASE'), (5, 'TESTS')) h(i, t)""", True).replace("\nSELECT * FROM shared", f", {_LINES}\nSELECT * FROM shared")
+
+SUMMARY_SQL = _with(f"""SELECT * FROM shared UNION ALL {_entry_sql("0", "bucket = 'direct'")}
+UNION ALL SELECT DISTINCT 1, file, -1, '', 0, '  ' || file || ' (' || n || ')' FROM g
+UNION ALL SELECT 1, file, line, path, 0, '    ' || path || '  (line ' || line || ')' || {_MARK} FROM g WHERE r <= 3
+UNION ALL SELECT DISTINCT 1, file, 2147483647, '', 0, '    ... ' || (n - 3) || ' more' FROM g WHERE n > 3
+UNION ALL SELECT 0, '', -2, '', 0, 'DIRECT (' || count(*) || ')' FROM d WHERE bucket = 'direct'
+UNION ALL SELECT 1, '', -2, '', 0, 'INDIRECT (' || count(*) || ' across ' || count(DISTINCT file) || CASE WHEN count(DISTINCT file) = 1 THEN ' file)' ELSE ' files)' END FROM g
+UNION ALL SELECT 2, '', -2, '', 0, 'API (' || count(*) || ')' FROM k WHERE contract_kind = 'ApiRoute'
+UNION ALL SELECT 3, '', -2, '', 0, 'EVENTS (' || count(*) || ')' FROM k WHERE contract_kind = 'Event'
+UNION ALL SELECT 4, '', -2, '', 0, 'DATABASE (' || count(*) || ')' FROM k WHERE contract_kind = 'Table'
+UNION ALL SELECT 5, '', -2, '', 0, 'TESTS'""", True).replace("\nSELECT * FROM shared", f", {_LINES}, g AS (SELECT *, count(*) OVER (PARTITION BY file) n, row_number() OVER (PARTITION BY file ORDER BY line, path) r FROM d WHERE bucket = 'indirect')\nSELECT * FROM shared")
+
+
+QUERIES = {f.__name__: f for f in (direct_dependents, indirect_dependents, weakest_link_confidence, heuristic_stop, explain_via, explain_off, min_confidence_filter, summary_by_file, affected_tests, report_counts, report_text, report_summary, bucket_fold, cyclic_reach, implements_both_ways, contracts_touched, event_wiring, event_loss, file_seed_filter, diff_overlap)}
 
 ORACLES = {
     "direct_dependents": _with("SELECT path, file, line, c confidence FROM d WHERE bucket = 'direct'"),
@@ -201,7 +243,10 @@ ORACLES = {
     "min_confidence_filter": _with("SELECT bucket, path, c confidence FROM d WHERE c >= 2", True),
     "summary_by_file": _with("SELECT file, n AS count, string_agg(path, ',' ORDER BY line, path) shown FROM (SELECT *, count(*) OVER (PARTITION BY file) n, row_number() OVER (PARTITION BY file ORDER BY line, path) r FROM d WHERE bucket = 'indirect') WHERE r <= 3 GROUP BY file, n"),
     "affected_tests": _with("SELECT path, file, line, c confidence FROM d WHERE is_test"),
-    "report_counts": _with("SELECT count(*) FILTER (bucket = 'direct') direct, count(*) FILTER (bucket = 'indirect') indirect, count(DISTINCT path) FILTER (is_test) tests, 0 api FROM d", True),
+    "report_counts": _with(f"""SELECT count(*) FILTER (bucket = 'direct') direct, count(*) FILTER (bucket = 'indirect') indirect, count(DISTINCT path) FILTER (is_test) tests, k.*
+FROM d, (SELECT count(*) FILTER (contract_kind = 'ApiRoute') api, count(*) FILTER (contract_kind = 'Event') events, count(*) FILTER (contract_kind = 'Table') AS "database" FROM ({CONTRACTS_SQL})) k GROUP BY ALL""", True),
+    "report_text": TEXT_SQL,
+    "report_summary": SUMMARY_SQL,
     "bucket_fold": _with("SELECT bucket, 'file::' || file path, min(c) confidence, min_by(id, (hop, id)) id FROM d GROUP BY ALL", True),
     "cyclic_reach": CYCLIC_SQL,
     "implements_both_ways": IMPLEMENTS_SQL,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,21 +77,115 @@ def glob_regex(glob: str) -> str:
 
 
 def scan(spark: SparkSession, root: str, project: str) -> DataFrame:
-    """(project_id, file, content) of all files under a folder that Spark can read, paths relative and /-separated."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    base = re.sub(r"^[a-z0-9]+:/+", "/", root.rstrip("/"))
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), f"^{re.escape(base)}/", "")
-    return raw.select(F.lit(project).alias("project_id"), relative.alias("file"), F.decode("content", "UTF-8").alias("content"))
+    """(project_id, file, content) of all files under a folder that Spark can read, paths relative and /-separated.
 
+    The content of files that are not UTF-8 is null.  Spark's own listing hides
+    names that begin with _ or . ; those that are sources or ignore files are read
+    beside it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    relative = F.regexp_replace(F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/"), "^" + re.escape(re.sub("^([a-z0-9]+):/+", r"\1:/", base)) + "/", "")
+    rows = raw.select(relative.alias("file"), "content").unionByName(_hidden(spark, base))
+    return rows.select(F.lit(project).alias("project_id"), "file", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
 
-def pruned(files: DataFrame, config: Config | None = None, ignored: list[str] | None = None) -> DataFrame:
-    """Files outside dependency and hidden folders that no exclude or ignore glob matches."""
-    out = files.where(~F.col("file").rlike(r"(^|/)(node_modules|\.[^/]+)/"))
-    for glob in [*(config.exclude if config else []), *(ignored or [])]:
+
+def _hidden(spark: SparkSession, base: str) -> DataFrame:
+    """(file, content) of files below a name that begins with _, and of .gitignore files, outside hidden folders."""
+    from pyarrow import fs
+
+    files, top = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", base))
+    found = [i.path[len(top) :].strip("/") for i in files.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file]
+    wanted = [(f,) for f in found if re.search(r"(^|/)(_|\.gitignore$)", f) and not re.search(r"(^|/)(node_modules|\.[^/]+)/", f)]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, folder = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", base))
+        for b in batches:
+            for f in b["file"]:  # one file a batch, so that a task holds one at a time
+                with source.open_input_stream(f"{folder}/{f}") as x:
+                    yield pd.DataFrame({"file": [f], "content": [x.read()]})
+
+    return spark.createDataFrame(wanted, "file string").mapInPandas(read, "file string, content binary")
+
+
+def text_of(files: DataFrame, name: str) -> str | None:
+    """The content of one file by its path."""
+    row = files.where(F.col("file") == name).select("content").first()
+    return row.content if row else None
+
+
+def pruned(files: DataFrame, config: Config | None = None) -> DataFrame:
+    """Files outside dependency folders, not hidden, that no exclude glob matches."""
+    out = files.where(~F.col("file").rlike(r"(^|/)(node_modules/|\.[^/]+(/|$))"))
+    for glob in config.exclude if config else []:
         out = out.where(~F.col("file").rlike(glob_regex(glob)))
     return out
 
 
+@functools.lru_cache(maxsize=4096)
+def ignore_rules(text: str) -> list[tuple[re.Pattern, bool, bool]]:
+    """(pattern, negated, folders only) for each line of an ignore file, paths against its folder."""
+    out = []
+    for raw in text.splitlines():
+        line = raw if raw.endswith("\\ ") else raw.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        negated, line = line.startswith("!"), line.removeprefix("!")
+        line = line.removeprefix("\\")
+        folder, line = line.endswith("/"), line.rstrip("/")
+        if line:
+            out.append((re.compile(glob_regex(line.lstrip("/") if "/" in line else f"**/{line}")), negated, folder))
+    return out
+
+
+def is_ignored(file: str, sources: list[tuple[str, str]]) -> bool:
+    """Whether ignore files (folder, text) leave a file out: a folder that is left out takes all within it."""
+    parts = file.split("/")
+    nearest = sorted(sources, key=lambda x: -len(x[0]))
+    for n in range(1, len(parts) + 1):
+        path, within = "/".join(parts[:n]), n < len(parts)
+        verdict = None
+        for folder, text in nearest:
+            if folder and not path.startswith(f"{folder}/"):
+                continue
+            rest = path[len(folder) + 1 :] if folder else path
+            # The last line that matches decides, in the nearest file that has one.
+            verdict = next((not negated for regex, negated, only in reversed(ignore_rules(text)) if (within or not only) and regex.match(rest)), None)
+            if verdict is not None:
+                break
+        if verdict:
+            return True
+    return False
+
+
+#: Ignore files up to which they are sent to all executors.
+FEW_IGNORE_FILES = 1000
+
+
+def unignored(files: DataFrame) -> DataFrame:
+    """Files that no .gitignore of a folder above leaves out.
+
+    Only paths meet the ignore files of their folders; contents aren't moved.
+    """
+    rules = files.where(F.col("file").rlike(r"(^|/)\.gitignore$") & F.col("content").isNotNull())
+    rules = rules.select(F.regexp_replace("file", r"/?\.gitignore$", "").alias("folder"), F.col("content").alias("rules"))
+    n = rules.limit(FEW_IGNORE_FILES + 1).count()
+    if n == 0:
+        return files
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))
+    asked = files.select("file", F.explode(above).alias("folder")).join(F.broadcast(rules) if n <= FEW_IGNORE_FILES else rules, "folder")
+    held = asked.groupBy("file").agg(F.collect_list(F.struct("folder", "rules")).alias("rules"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [is_ignored(f, [(r["folder"], r["rules"]) for r in rules]) for f, rules in zip(b["file"], b["rules"], strict=True)]
+            yield b.loc[out, ["file"]]
+
+    return files.join(held.mapInPandas(work, "file string"), "file", "left_anti")
+
+
 def routed(files: DataFrame) -> DataFrame:
     """Files that an adapter takes, with their language."""
     return files.withColumn("language", language_of(F.col("file"))).where("language IS NOT NULL")
@@ -127,14 +224,15 @@ def resolve_alias(specifier: str, aliases: list[tuple]) -> str | None:
     return None
 
 
-def parse_workspace(text: str, base: str = "") -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """Projects (id, path against the file's folder) and links (produces, consumes)."""
+def parse_workspace(text: str, base: str = "") -> tuple[list[tuple[str, str, str | None]], list[tuple[str, str]]]:
+    """Projects (id, path, index folder or None; paths against the file's folder) and links (produces, consumes)."""
     import posixpath
     import tomllib
 
     t = tomllib.loads(text)
-    rows = [(p["id"], posixpath.normpath(posixpath.join(base, p["path"]))) for p in t.get("project", t.get("projects", []))]
-    return rows, [(x["produces"], x["consumes"]) for x in t.get("link", t.get("links", []))]
+    under = lambda path: posixpath.normpath(posixpath.join(base, path))
+    rows = [(p["id"], under(p["path"]), under(p["cache_dir"]) if "cache_dir" in p else None) for p in t.get("projects", [])]
+    return rows, [(x["produces"], x["consumes"]) for x in t.get("links", [])]
 
 
 def parse_cargo(file: str, text: str) -> dict | None:
