@@ -98,6 +98,11 @@ def _owner(decls: list[Decl], pos: int, kinds: tuple[str, ...] = ("Function", "F
     return max(inside, key=lambda d: d.start, default=None)
 
 
+def _defines(src: Source, opened: int) -> bool:
+    """Whether the parentheses at a place are a method's parameters: a body follows them, as in object literals (proxy traps, too)."""
+    return re.compile(r"\s*(?::[^;{}()=]*)?\{").match(src.bare, src.close(opened, "()") + 1) is not None
+
+
 def _collect(src: Source, out: Extract, decls: list[Decl], scope: Scope, module: str, script: bool, target: Callable[[list[str], Decl | None], Ref | None]) -> None:
     """Calls, attributed to the innermost function (scripts: else to the module)."""
     heads = {d.symbol.path.rsplit("::", 1)[-1]: d for d in decls}
@@ -109,7 +114,7 @@ def _collect(src: Source, out: Extract, decls: list[Decl], scope: Scope, module:
         name_at = m.start(1) + len(m[1]) - len(parts[-1])
         if owner and parts[-1] in heads and any(d.start <= name_at < (d.body if d.body > d.start else d.start + 1) and d.symbol.path.endswith(f"::{parts[-1]}") and re.search(rf"\b{re.escape(parts[-1])}\s*$", src.bare[d.start : m.end(1)]) and not re.search(r"[={]", src.bare[d.start : name_at]) for d in decls):
             continue
-        if owner is None and not script:
+        if owner is None and not script or script and len(parts) == 1 and _defines(src, m.end() - 1):
             continue
         ref = target(parts, owner)
         if ref:
@@ -163,6 +168,52 @@ def _use_tree(text: str, base: list[str], scope: Scope, crate: str) -> None:
         scope.imports[alias or seg[-1]] = "::".join(seg[:-1])
 
 
+#: Place of a name's type in Rust: annotated bindings, constructors by path, struct values, unit values.
+_RUST_BINDING = re.compile(rf"\blet\s+(?:mut\s+)?({_IDENT})\s*(?::\s*([^=;]+?))?\s*=\s*(?:&\s*(?:mut\s+)?)?((?:{_IDENT}::)*{_IDENT})?")
+
+
+def _rust_type(text: str) -> str | None:
+    """The type a declaration names, within references and containers: Repo of &mut Repo, Arc<Repo> or Option<Box<x::Repo>>."""
+    head, opened, rest = text.partition("<")
+    inner = _rust_type(rest.rsplit(">", 1)[0].split(",")[0]) if opened else None
+    names = re.findall(r"(?<!')\b[A-Z]\w*", head)
+    return inner or (names[-1] if names else None)
+
+
+def _rust_named(text: str) -> dict[str, str]:
+    """Names and types of a list of fields or parameters; commas within brackets part nothing."""
+    depth, part, parts = 0, "", []
+    for c in text.replace("->", "  ") + ",":
+        if c == "," and depth <= 0:
+            parts.append(part)
+            part = ""
+            continue
+        depth += (c in "<([") - (c in ">)]")
+        part += c
+    named = [re.search(rf"({_IDENT})\s*:(?!:)(.*)", p, re.S) for p in parts]
+    return {m[1]: _rust_type(m[2]) or "" for m in named if m}
+
+
+def _rust_receivers(src: Source, decls: list[Decl]) -> tuple[dict[int, dict[str, str]], dict[tuple[str, str], str]]:
+    """Types of bindings by function (its start) and name, and of fields by struct and name."""
+    bindings: dict[int, dict[str, str]] = {}
+    fields: dict[tuple[str, str], str] = {}
+    for d in decls:
+        if d.start < 0 or d.body >= d.end:
+            continue
+        if d.symbol.kind == "Function":
+            known = bindings[d.start] = _rust_named(_params(src, d.start)[0])
+            for m in _RUST_BINDING.finditer(src.bare, d.body, d.end):
+                value = (m[3] or "").split("::")
+                after = src.bare[m.end() :].lstrip()[:1]
+                made = value[-2] if len(value) > 1 and after == "(" else value[-1] if after in ("{", ";") else ""
+                known[m[1]] = (_rust_type(m[2]) if m[2] else made if made[:1].isupper() else None) or ""
+        elif d.symbol.kind == "Type":
+            owner = d.symbol.path.rsplit("::", 1)[-1]
+            fields |= {(owner, name): typed for name, typed in _rust_named(src.bare[d.body + 1 : d.end]).items()}
+    return bindings, fields
+
+
 def rust(file: str, module: str, text: str, config: dict | None = None) -> Extract:
     config = config or {}
     src, out, decls, scope = Source(text), Extract(), [], Scope(module)
@@ -212,12 +263,23 @@ def rust(file: str, module: str, text: str, config: dict | None = None) -> Extra
                 events.add((join(prefix, name[0]), first))
     scope.locals |= {d.symbol.path.removeprefix(f"{module}::" if module else "").split("::")[0] for d in decls if d.symbol.kind == "Function" and not d.symbol.owner}
 
+    bindings, fields = _rust_receivers(src, decls)
+
     def target(parts: list[str], owner: Decl | None) -> Ref | None:
         if parts[0] == "self" and len(parts) == 2 and owner and owner.symbol.owner:
             return Ref("", f"{owner.symbol.owner}::{parts[1]}", tag="Module", module=module)
         if len(parts) == 1:
             return Ref("", parts[0], "Calls", *scope.bare(parts[0]))
         head, name = parts[-2], parts[-1]
+        typed = None
+        if owner and parts[0] == "self" and len(parts) == 3:
+            typed = fields.get((owner.symbol.owner or "", head))
+        elif owner and len(parts) == 2:
+            typed = bindings.get(owner.start, {}).get(head)
+        if typed:
+            tag, where = scope.qualified(typed)
+            if tag == "Module":
+                return Ref("", f"{typed}::{name}", "Calls", tag, where)
         if head == "Self" and owner and owner.symbol.owner:
             return Ref("", f"{owner.symbol.owner}::{name}", tag="Module", module=module)
         if parts[0] in ("crate", "self", "super"):
@@ -292,6 +354,80 @@ def _specifier(spec: str, module: str, aliases: list | None) -> str | None:
     return re.sub(r"^src/", "", found).replace("/", "::") if found is not None else spec.replace("/", "::")
 
 
+#: Methods of a navigation object that take a route's name, and the prefix of a route's symbol.
+NAVIGATE_METHODS = "navigate push popTo replace jumpTo".split()
+ROUTE = "route:"
+_NAVIGATES = re.compile(rf"(?<![\w$.])(?:navigate|((?:{_IDENT}\??\.)*{_IDENT})\??\.(?:{'|'.join(NAVIGATE_METHODS)}))\s*\(")
+
+
+def _route_name(src: Source, pos: int) -> tuple[str | None, int]:
+    """A route's name written at a place, as a string or as a member of a constant, and where it ends."""
+    m = re.compile(rf"\s*(?:(\")|{_IDENT}(?:\.{_IDENT})*\.({_IDENT})(?!\s*[\w.(]))").match(src.bare, pos)
+    if not m:
+        return None, pos
+    if m[2]:
+        return m[2], m.end()
+    i = bisect.bisect_left(src.at, m.start(1))
+    text = src.literals[i][1] if i < len(src.at) and src.at[i] == m.start(1) else "``"
+    name = None if text.startswith("`") else text[1:-1].replace("::", ":")
+    return name or None, m.start(1) + len(text)
+
+
+def _screens(src: Source) -> list[tuple[str, str, int, int]]:
+    """(route, component, start, end) of screen elements and of the entries of a screens object."""
+    found = []
+    for m in re.finditer(rf"<(?:{_IDENT}\.)*Screen\b", src.bare):
+        end, depth = m.end(), 0
+        while end < len(src.bare) and (depth or src.bare[end] != ">"):
+            depth += {"{": 1, "}": -1}.get(src.bare[end], 0)
+            end += 1
+        name = re.compile(r"\bname\s*=\s*\{?").search(src.bare, m.end(), end)
+        shown = re.compile(rf"\bcomponent\s*=\s*\{{\s*({_IDENT})\s*\}}").search(src.bare, m.end(), end)
+        route = _route_name(src, name.end())[0] if name else None
+        if route and shown:
+            found.append((route, shown[1], m.start(), end))
+    for m in re.finditer(r"\bscreens\s*:\s*\{", src.bare):
+        at, closed = m.end(), src.close(m.end() - 1)
+        while at < closed:
+            key = re.compile(rf"[\s,]*(?:({_IDENT})|(?=\"))").match(src.bare, at, closed)
+            if not key:
+                break
+            route, after = (key[1], key.end()) if key[1] else _route_name(src, key.end())
+            value = re.compile(rf"\s*:\s*(?:({_IDENT})\s*(?=[,}}]|$)|(\{{))?").match(src.bare, after)
+            end, shown = after, None
+            if value and value[2]:
+                end = src.close(value.start(2))
+                inner = re.compile(rf"[{{,]\s*screen\s*:\s*({_IDENT})\s*[,}}]").search(src.bare, value.start(2), end + 1)
+                shown = inner[1] if inner else None
+            elif value and value[1]:
+                shown = value[1]
+            if route and shown:
+                found.append((route, shown, key.end() if not key[1] else key.start(1), end))
+            comma = re.compile(r",").search(src.bare, max(end, value.end() if value else after), closed)
+            at = comma.end() if comma else closed
+    return found
+
+
+def _routes(src: Source, out: Extract, decls: list[Decl], scope: Scope, module: str, test_file: bool) -> None:
+    """A symbol for each route that a file registers, referring to its component; a reference by name for each navigation."""
+    taken = set()
+    for route, component, start, end in [] if test_file else _screens(src):
+        path = join(module, f"{ROUTE}{route}")
+        if path not in taken:
+            taken.add(path)
+            out.symbols.append(Symbol("Field", path, src.line(start), src.line(end)))
+        tag, where = scope.bare(component)
+        if tag != "Opaque":
+            out.refs.append(Ref(path, scope.original(component), "References", tag, where))
+    for m in _NAVIGATES.finditer(src.bare):
+        if m[1] and "nav" not in m[1].lower():
+            continue
+        route, end = _route_name(src, m.end())
+        if route and re.compile(r"\s*[,)]").match(src.bare, end):
+            owner = _owner(decls, m.start())
+            out.refs.append(Ref(owner.symbol.path if owner else join(module, MODULE), f"{ROUTE}{route}", "References"))
+
+
 def script(file: str, module: str, text: str, config: dict | None = None) -> Extract:
     src, out, decls, scope = Source(text, True), Extract(), [], Scope(module)
     aliases = (config or {}).get("aliases")
@@ -398,6 +534,7 @@ def script(file: str, module: str, text: str, config: dict | None = None) -> Ext
         if path and path.startswith("/") and handler:
             out.contracts.append(ContractRef("ApiRoute", f"{m[2].upper()} {path}", handler[1].rsplit(".", 1)[-1], "produces"))
     out.symbols += [d.symbol for d in decls]
+    _routes(src, out, decls, scope, module, test_file)
     return out
 
 
@@ -486,6 +623,11 @@ def go(file: str, module: str, text: str, config: dict | None = None) -> Extract
     extra: list[Ref] = []
     _collect(src, out, decls, scope, module, False, target)
     out.refs += extra
+    # Types of imported packages, named in signatures, fields and literals.
+    for m in re.finditer(rf"(?<![\w.])({_IDENT})\.([^\W\d_a-z]\w*)\b(?!\s*\()", src.bare):
+        owner = _owner([d for d in decls if d.start >= 0], m.start(), ("Function", "Type")) if m[1] in scope.imports else None
+        if owner:
+            out.refs.append(Ref(owner.symbol.path, m[2], "References", "Module", scope.imports[m[1]]))
     for m in re.finditer(r"\.?\bHandleFunc\s*\(|\.Handle\s*\(", src.bare):
         inner, closed = _params(src, m.end() - 1)
         route = src.literal(m.end(), closed)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..schema import struct
 
-SCHEMA_VERSION, EXTRACTOR_VERSION = 8, "1"
+SCHEMA_VERSION, EXTRACTOR_VERSION = 8, "2"
 TABLES = {"files": schema.FILE_HASHES, "nodes": schema.NODES, "refs": schema.REFS, "contract_refs": schema.CONTRACT_REFS, "edges": schema.EDGES, "packages": schema.PACKAGES}
 _LOG = "snapshot string, at double, schema_version int, extractor_version string, config string"
 

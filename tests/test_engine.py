@@ -91,6 +91,9 @@ def test_interfaces_packages_and_barrels(spark, tmp_path):
         "web/a.ts": "export function help() { return 1; }\nexport default function Main() { return 2; }\n",
         "web/index.ts": "export { help as aid } from './a';\nexport * from './a';\n",
         "web/use.ts": "import Top from './a';\nimport { aid } from './index';\nexport function go1() { aid(); Top(); }\n",
+        "web/detail.tsx": "export function DetailScreen() {\n  return null\n}\n",
+        "web/router.tsx": "import { DetailScreen } from './detail'\nexport function AppRouter() {\n  return <Stack.Screen name={Screens.Detail} component={DetailScreen} />\n}\n",
+        "web/list.tsx": "export function ListScreen({ navigation }) {\n  return navigation.navigate(Screens.Detail, { id: 1 })\n}\n",
         "core/Cargo.toml": '[package]\nname = "my-core"\n',
         "core/src/lib.rs": "pub fn shared() {}\n",
         "app/Cargo.toml": '[package]\nname = "app"\n[dependencies]\nmy-core = { path = "../core" }\n',
@@ -107,5 +110,6 @@ def test_interfaces_packages_and_barrels(spark, tmp_path):
     assert ("web::use::go1", "web::a::help", "Calls") in edges and ("web::use::go1", "web::a::Main", "Calls") in edges
     assert ("app::src::main" in str(edges)) or any(a.endswith("main") and b.endswith("shared") for a, b, _ in edges)
     assert not any("stranger" in a and "shared" in b for a, b, _ in edges)
+    assert {("web::router::route:Detail", "web::detail::DetailScreen", "References"), ("web::list::ListScreen", "web::router::route:Detail", "References")} <= edges
     reached = {r.path for r in e.query_symbol("Db::Fetch")[0].collect()}
     assert {"svc::store::Store::Fetch", "svc::store::use"} <= reached
