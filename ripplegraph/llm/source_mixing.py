@@ -13,7 +13,8 @@ A source that runs out ends a phase; the others go on by their weights in a new
 frame.  No row is dropped or repeated.
 
 Only one row for each source (its number of rows) reaches the driver; what it
-sends back has at most sources x (frame + sources) rows.  Rows are numbered
+sends back has at most sources x (frame + sources) rows, and at most three for
+each block that there is.  Rows are numbered
 within hash buckets and buckets by prefix sums, so a source of any size is never
 gathered in one task.
 
@@ -24,7 +25,9 @@ get one part.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,21 +44,33 @@ def root_parts(counts: dict[str, int], total: int = 1000, exponent: float = 0.5)
     return {s: max(1, round(total * p / whole)) for s, p in powers.items()}
 
 
-def frame_schedule(parts: dict[str, int]) -> list[str]:
+def earliest_deadlines(parts: dict[str, int]) -> Iterator[str]:
     """The source of each slot of a frame: earliest deadline first among released blocks, ties by name."""
     frame = sum(parts.values())
-    done = dict.fromkeys(sorted(parts), 0)
-    out = []
+    done = dict.fromkeys(parts, 0)
+    waiting = [(0, s) for s in sorted(parts)]
+    ready: list[tuple[int, str]] = []
     for t in range(frame):
-        ready = [(-(-(done[s] + 1) * frame // a), s) for s, a in sorted(parts.items()) if done[s] < a and done[s] * frame // a <= t]
-        source = min(ready)[1]
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * frame // parts[s]), s))
+        source = heapq.heappop(ready)[1]
         done[source] += 1
-        out.append(source)
-    return out
+        if done[source] < parts[source]:
+            heapq.heappush(waiting, (done[source] * frame // parts[source], source))
+        yield source
+
+
+def frame_schedule(parts: dict[str, int]) -> list[str]:
+    return list(earliest_deadlines(parts))
 
 
 def plan_phases(rows: dict[str, int], parts: dict[str, int], block_rows: int) -> tuple[list[tuple], list[tuple]]:
-    """Phases (phase, source, first block, end block, parts, frame, base slot, base row) and slots (phase, source, nth, slot)."""
+    """Phases (phase, source, first block, end block, parts, frame, base slot, base row) and slots (phase, source, nth, slot).
+
+    Only sources that get a block in a phase have a row for it, and of a phase
+    shorter than its frame only the slots that it fills are worked out.
+    """
     left = {s: -(-n // block_rows) for s, n in rows.items() if n > 0}
     done = dict.fromkeys(left, 0)
     phases, slots = [], []
@@ -63,25 +78,26 @@ def plan_phases(rows: dict[str, int], parts: dict[str, int], block_rows: int) ->
     while left:
         shrink = math.gcd(*(parts.get(s, 1) for s in left))
         now = {s: parts.get(s, 1) // shrink for s in left}
-        order = frame_schedule(now)
-        frame = len(order)
+        frame = sum(now.values())
         full = min((n - 1) // now[s] for s, n in left.items())
-        used = {s: full * now[s] for s in left}
-        length, ended = full * frame, None
-        for s in order:
-            used[s] += 1
-            length += 1
-            if used[s] == left[s]:
-                ended = s
-                break
-        nth = dict.fromkeys(left, 0)
-        for t, s in enumerate(order):
-            slots.append((number, s, nth[s], t))
-            nth[s] += 1
-        phases += [(number, s, done[s], done[s] + used[s], now[s], frame, base_slot, base_row) for s in left]
-        for s in left:
-            done[s] += used[s]
-            left[s] -= used[s]
+        used = {s: full * now[s] for s in left} if full else {}
+        nth: dict[str, int] = {}
+        ended, length = None, full * frame
+        for t, s in enumerate(earliest_deadlines(now)):
+            turn = nth.get(s, 0)
+            slots.append((number, s, turn, t))
+            nth[s] = turn + 1
+            if ended is None:
+                length += 1
+                used[s] = used.get(s, 0) + 1
+                if used[s] == left[s]:
+                    ended = s
+                    if not full:
+                        break
+        phases += [(number, s, done[s], done[s] + n, now[s], frame, base_slot, base_row) for s, n in used.items()]
+        for s, n in used.items():
+            done[s] += n
+            left[s] -= n
         short = -(-rows[ended] // block_rows) * block_rows - rows[ended]
         base_slot, base_row, number = base_slot + length, base_row + length * block_rows - short, number + 1
         del left[ended]

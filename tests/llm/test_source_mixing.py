@@ -68,6 +68,33 @@ def test_mix_equals_slot_by_slot_schedule(spark, seed):
     assert [r.slot for r in order] == sorted(r.slot for r in got)
 
 
+def test_many_sources_are_planned_by_their_blocks():
+    """2,000 sources: the plan has rows for the blocks that there are, not for sources x frame."""
+    counts = {f"host{i}": 1 + i % 3 for i in range(2000)}
+    parts = M.root_parts(counts)
+    phases, slots = M.plan_phases(counts, parts, 1)
+    blocks = sum(counts.values())
+    taken = [(s, first) for _, s, first, end, *_ in phases for first in range(first, end)]
+    assert len(taken) == len(set(taken)) == blocks
+    assert len(slots) <= 2 * blocks and len(phases) <= blocks
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_equals_slot_by_slot_schedule(seed):
+    rng = random.Random(seed)
+    counts = {f"s{i}": rng.choice([0, 1, 3, 50, 700]) for i in range(30)}
+    parts = {s: rng.randint(1, 40) for s in counts}
+    phases, slots = M.plan_phases(counts, parts, 4)
+    at = {(p, s, nth): t for p, s, nth, t in slots}
+    places = {}
+    for p, s, first, end, a, frame, base, _ in phases:
+        for block in range(first, end):
+            turn = block - first
+            places[base + turn // a * frame + at[p, s, turn % a]] = (s, block)
+    assert [places[k] for k in sorted(places)] == brute(counts, parts, 4)
+    assert sorted(places) == list(range(len(places)))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = M.mix(odd_docs).collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter((r.doc_id, r.source) for r in odd_docs.select("doc_id", "source").collect())
