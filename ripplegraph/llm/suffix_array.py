@@ -2,11 +2,12 @@
 
 ``suffix_array`` follows the induced-sorting scheme: classify suffixes as
 smaller (S) or larger (L) than the next one, sort the leftmost-S substrings by
-one round of inducing, name them, sort the named string (by recursive naming of
-pairs, as its alphabet is large), and induce the whole array from the sorted
-leftmost-S suffixes in two linear scans.  A scan visits the character buckets in
-order; all entries of a bucket that are known at that point induce their
-predecessors in one array operation, and runs of one character go in waves.
+one round of inducing, name them, sort the named string by the same scheme,
+recursively, and induce the whole array from the sorted leftmost-S suffixes in two
+scans.  Over bytes a scan visits the character buckets in order; all entries of a
+bucket that are known at that point induce their predecessors in one array
+operation, and runs of one character go in waves.  Over names, which are many, all
+buckets go at once whose entries follow from suffixes that are placed already.
 """
 
 from __future__ import annotations
@@ -87,34 +88,71 @@ def induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names: names of pairs, of pairs of pairs, and so on."""
-    m, k = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        second = np.zeros(m, np.int64)
-        second[: m - k] = rank[k:] + 1
-        key = rank * (m + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.ones(m, np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(m, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        k *= 2
-        if rank[order[-1]] == m - 1 or k >= 2 * m:
-            return order
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1]) + np.repeat(begins - (ends - counts), counts)
+
+
+def _settle(t: np.ndarray, wanted: np.ndarray, place: np.ndarray, free: np.ndarray, turn: np.ndarray, after: np.ndarray) -> None:
+    """Give the wanted suffixes, all of one type, their places from free[character] on.
+
+    Within a bucket they go by the length of their run and the place of the suffix
+    after the run.  A bucket is ready when the wanted ones among those are placed;
+    all buckets that are ready go at once.
+    """
+    items = np.flatnonzero(wanted)
+    items = items[np.argsort(t[items], kind="stable")]
+    counts = np.bincount(t[items], minlength=len(free))
+    begins = np.cumsum(counts) - counts
+    last = items[t[items + 1] != t[items]]
+    waits = np.bincount(t[last[wanted[last + 1]]], minlength=len(free))
+    ready = np.flatnonzero((counts > 0) & (waits == 0))
+    while len(ready):
+        i = items[_ranges(begins[ready], counts[ready])]
+        i = i[np.lexsort((place[after[i]], turn[i], t[i]))]
+        place[i] = _ranges(free[ready], counts[ready])
+        before = i[i > 0] - 1
+        before = before[wanted[before] & (t[before] != t[before + 1])]
+        chars, less = np.unique(t[before], return_counts=True)
+        waits[chars] -= less
+        ready = chars[waits[chars] == 0]
+
+
+def induce_wide(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """``induce`` for strings of names: many small buckets, taken together as soon as what they follow from is placed."""
+    n = len(t)
+    counts = np.bincount(t)
+    heads = np.cumsum(counts) - counts
+    begins_s = heads + np.bincount(t[~s_type], minlength=len(counts))
+    ends = np.flatnonzero(np.append(t[1:] != t[:-1], True))
+    end = ends[np.searchsorted(ends, np.arange(n))]
+    after, turn = np.minimum(end + 1, n - 1), end - np.arange(n) + 1
+    place = np.zeros(n, np.int64)
+    seeds = lms[np.argsort(t[lms], kind="stable")]
+    seed_counts = np.bincount(t[lms], minlength=len(counts))
+    place[seeds] = _ranges(begins_s, seed_counts)
+    _settle(t, ~s_type, place, heads, turn, after)
+    smaller = s_type.copy()
+    smaller[-1] = False
+    place[-1] = 0
+    _settle(t, smaller, place, begins_s, -turn, after)
+    sa = np.empty(n, np.int64)
+    sa[place] = np.arange(n)
+    return sa
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of uint8 characters; the last must be a unique smallest one."""
+    """Suffix array of uint8 characters, or of names (int64, from 0 on); the last must be a unique smallest one."""
     n = len(t)
     if n < 3:
         return np.arange(n)[::-1].copy()
+    by_order = induce if t.dtype == np.uint8 else induce_wide
     s_type = classify(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) < 2:
-        return induce(t, s_type, lms)
-    induced = induce(t, s_type, lms)
+        return by_order(t, s_type, lms)
+    induced = by_order(t, s_type, lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by_substring = induced[is_lms[induced]]
@@ -134,8 +172,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     name_of = np.cumsum(~same) - 1
     names = np.empty(len(lms), np.int64)
     names[nth[by_substring]] = name_of
-    ordered = by_substring if name_of[-1] == len(lms) - 1 else lms[_order_of_names(names)]
-    return induce(t, s_type, ordered)
+    ordered = by_substring if name_of[-1] == len(lms) - 1 else lms[suffix_array(names)]
+    return by_order(t, s_type, ordered)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, anchors: np.ndarray, cap: int) -> np.ndarray:

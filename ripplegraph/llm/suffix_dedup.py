@@ -12,7 +12,7 @@ strings are judged on the input and never cross rows.
    member repeat as a whole.  A class that is alone under its anchor needs no
    more work.  Of the others the earliest member goes on, with its bytes.
 3. Such segments, dealt by anchor into shards, are sorted by induced sorting
-   (``suffix_array``); permuted common prefixes tell which suffixes share 100
+   at every level of its recursion (``suffix_array``); permuted common prefixes tell which suffixes share 100
    bytes; in each such group all but the earliest window repeat.
 4. Each row's repeated windows join to removed spans.
 

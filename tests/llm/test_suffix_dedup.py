@@ -30,6 +30,32 @@ def test_suffix_array_and_prefixes(chars):
         assert prefix[sa[k]] == common
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 40).flatmap(lambda k: st.lists(st.integers(1, k), max_size=120)))
+def test_suffix_array_of_names(chars):
+    """Wide alphabets, as the recursion meets them: dense names, runs, long descents."""
+    kinds = {c: k for k, c in enumerate(sorted(set(chars)), 1)}
+    names = [kinds[c] for c in chars] + [0]
+    t = np.array(names, np.int64)
+    assert suffix_array.suffix_array(t).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
+    down = np.arange(len(chars) + 1)[::-1].copy()
+    assert suffix_array.suffix_array(down).tolist() == down.tolist()
+
+
+def test_array_recurs_by_induced_sorting(monkeypatch):
+    """Repeats that leftmost-S substrings don't tell apart are sorted by inducing the string of names, level by level."""
+    levels = []
+    inner = suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda t: (levels.append(len(t)), inner(t))[1])
+    rng = random.Random(3)
+    part = bytes(rng.choice(b"abc") for _ in range(600))
+    b = (part + b"x") * 5 + b"\0"
+    t = np.frombuffer(b, np.uint8)
+    assert suffix_array.suffix_array(t).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    assert len(levels) >= 3
+    assert all(2 * x <= y for x, y in zip(levels[1:], levels, strict=False))
+
+
 def brute(rows, length=100):
     """{id: (bytes, removed, spans, digest)}: every window in order of (id, place)."""
     seen, out = set(), {}
