@@ -123,12 +123,17 @@ def reexport_targets(requests: DataFrame, reexports: DataFrame) -> DataFrame:
     """
     rows = stored(reexports.select("barrel", F.col("name").alias("as_name"), "origin", "to_module").distinct().withColumn("key", F.explode(F.array_distinct(F.split("barrel", "::")))), "barrels")
     keys = ["module", "name", "m", "n"]
+    # Rows with a name meet by key and name, so a barrel of many names costs each request its own rows only.
+    named, every = rows.where("as_name <> '*'").withColumn("n", F.col("as_name")), rows.where("as_name = '*'")
     seen = Grown(requests.sparkSession, "targets", keys)
     seen.append(requests.select("module", "name").distinct().select("module", "name", F.col("module").alias("m"), F.col("name").alias("n"), F.lit(0).alias("hop")))
     hop = 0
     while not (front := seen.read().where(F.col("hop") == hop).drop("hop")).isEmpty():
-        hit = front.withColumn("key", short_name(F.col("m"))).join(rows, "key").where(contains_run(F.col("barrel"), F.col("m")))
-        hit = hit.where((F.col("as_name") == F.col("n")) | ((F.col("as_name") == "*") & (F.col("n") != "default")))
+        asked = front.withColumn("key", short_name(F.col("m")))
+        columns = [*keys, "barrel", "origin", "to_module"]
+        by_name = asked.join(named, ["key", "n"]).select(*columns)
+        by_star = asked.where("n <> 'default'").join(every, "key").select(*columns)
+        hit = by_name.unionByName(by_star).where(contains_run(F.col("barrel"), F.col("m")))
         hit = hit.withColumn("choice", F.when(F.col("barrel") == F.col("m"), 0).otherwise(1))
         best = F.min("choice").over(Window.partitionBy(*keys))
         step = hit.withColumn("best", best).where("choice = best").select("module", "name", F.col("to_module").alias("m"), F.coalesce("origin", "n").alias("n")).distinct()
