@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_under
 from ..schema import EXACT
-from ..sources.shared import Grown, stored
+from ..sources.shared import Grown, release, stored
 
 
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -62,19 +62,51 @@ def rewrite_imports(refs: DataFrame, packages: DataFrame) -> DataFrame:
     return joined.withColumn("target_module", F.when(F.col("module_root").isNotNull(), whole).otherwise(F.col("target_module"))).drop("first", "module_root")
 
 
+#: A spec that more types have than this gets no marks of its types.
+MARKED = 4096
+
+
+def _candidates(specs: DataFrame, methods: DataFrame) -> DataFrame:
+    """(language, interface, type, wanted): every type that can have all specs of an interface, and few others.
+
+    An interface meets the types that have its rarest name.  Each carries 16-bit
+    marks of the types that have its next rarest name; a type without a mark among
+    them is out before it becomes a row.
+    """
+    key, whole = ["language", "name", "signature"], ["language", "interface"]
+    counts = methods.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    by_name = specs.join(counts, key, "left").groupBy(*whole, "name").agg(F.bool_or(F.col("signature").isNull()).alias("open"), F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.array_sort(F.collect_set("signature")).alias("signatures"))
+    ranks = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("n", "name", "signatures"))))
+    names = by_name.groupBy(*whole).agg(F.bool_or("open").alias("open"), F.size(ranks).cast("long").alias("wanted"), F.slice(ranks, 1, 2).alias("two"))
+    names = names.where("NOT open AND wanted > 0").select(*whole, "wanted", F.get("two", F.lit(0)).alias("rare"), F.get("two", F.lit(1)).alias("next")).where("rare.n > 0")
+    names = stored(names, "rarest")
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 16)).cast("int")
+    marks = methods.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.collect_set(mark("type")).alias("marks")).where(F.col("n") <= MARKED)
+    # Names with several signatures go without marks.
+    second = F.when(F.size("next.signatures") == 1, F.struct(F.col("next.name").alias("name"), F.get("next.signatures", F.lit(0)).alias("signature"))).alias("second")
+    asked = names.select(*whole, "wanted", F.col("rare.name").alias("name"), F.explode("rare.signatures").alias("signature"), second)
+    marked = marks.select(F.col("language").alias("m_language"), F.col("name").alias("m_name"), F.col("signature").alias("m_signature"), "marks")
+    asked = asked.join(marked, (F.col("language") == F.col("m_language")) & (F.col("second.name") == F.col("m_name")) & (F.col("second.signature") == F.col("m_signature")), "left").drop("second", "m_language", "m_name", "m_signature")
+    met = asked.join(methods.select(*key, "type", mark("type").alias("mark")), key).where(F.col("marks").isNull() | F.array_contains("marks", F.col("mark")))
+    return met.select(*whole, "type", "wanted").distinct()
+
+
 def implementations(specs: DataFrame, methods: DataFrame) -> DataFrame:
     """(from_id, to_id, kind, confidence): methods of types that have every spec of an interface, to those specs.
 
     ``specs`` and ``methods`` are (language, owner, name, signature, id).  An
-    interface with an unknown signature has no implementations.  Division by
-    counting: an equality join, then as many distinct specs met as there are.
+    interface with an unknown signature has no implementations.  Division: the
+    types that have an interface's rarest names are its candidates; they meet its
+    other specs, and those with as many distinct names met as there are stay.
     """
-    known = specs.groupBy("language", "owner").agg(F.count_distinct("name").alias("wanted"), F.bool_or(F.col("signature").isNull()).alias("open")).where("NOT open").drop("open")
-    s = specs.select("language", F.col("owner").alias("interface"), "name", "signature", F.col("id").alias("to_id"))
-    m = methods.select("language", F.col("owner").alias("type"), "name", "signature", F.col("id").alias("from_id"))
-    met = s.join(known.withColumnRenamed("owner", "interface"), ["language", "interface"]).join(m, ["language", "name", "signature"])
-    full = met.groupBy("language", "interface", "type", "wanted").agg(F.count_distinct("name").alias("n")).where("n = wanted")
-    hit = met.join(full.select("language", "interface", "type"), ["language", "interface", "type"], "left_semi")
+    s = stored(specs.select("language", F.col("owner").alias("interface"), "name", "signature", F.col("id").alias("to_id")), "specs")
+    m = stored(methods.select("language", F.col("owner").alias("type"), "name", "signature", F.col("id").alias("from_id")), "methods")
+    release(s.sparkSession)
+    pairs = stored(_candidates(s, m), "candidates")
+    release(s.sparkSession)
+    met = pairs.join(s, ["language", "interface"]).join(m, ["language", "type", "name", "signature"])
+    full = met.groupBy("language", "interface", "type", "wanted").agg(F.size(F.collect_set("name")).alias("n"), F.collect_set(F.struct("from_id", "to_id")).alias("hits")).where("n = wanted")
+    hit = full.select(F.explode("hits").alias("hit")).select("hit.from_id", "hit.to_id")
     return hit.select("from_id", "to_id", F.lit("Implements").alias("kind"), F.lit(EXACT).alias("confidence")).distinct()
 
 

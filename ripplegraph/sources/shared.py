@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -28,6 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """After a large shuffle: its files go now, not at the driver's next garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Grown:
     """A table in the shared folder that rounds append to, bucketed and sorted by its keys.
 

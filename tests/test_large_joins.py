@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import resolve
+from ripplegraph.operators import packages, resolve
 
 
 def test_reexports_of_a_barrel_meet_by_name(spark, monkeypatch):
@@ -21,3 +21,21 @@ def test_reexports_of_a_barrel_meet_by_name(spark, monkeypatch):
     assert got == want
     joins = [line for plan in plans for line in plan.splitlines() if "Join Inner" in line]
     assert joins and not any(" OR " in line for line in joins)  # names are a key, not a condition on all rows of a barrel
+
+
+def test_division_meets_types_by_rare_names(spark):
+    """400 interfaces share a name that 400 types have; each has a rare name of its own."""
+    ids = spark.range(400).select(F.col("id").cast("string").alias("k"))
+
+    def rows(owner, name, signature="()"):
+        return ids.select(F.lit("go").alias("language"), F.concat(F.lit(owner), "k").alias("owner"), name.alias("name"), F.lit(signature).alias("signature"), F.concat_ws("/", F.lit(owner), "k", name, F.lit(signature)).alias("id"))
+
+    common, own = F.lit("common"), F.concat(F.lit("own"), "k")
+    specs = rows("I", common).unionByName(rows("I", own)).unionByName(rows("I", own, "(int)").where("owner = 'I7'"))
+    more = spark.createDataFrame([("go", "Open", "common", None, "Open/common"), ("go", "One", "own5", "()", "One/own5"), ("go", "None", "absent", "()", "None/absent"), ("rust", "R", "own5", "()", "R/own5")], specs.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+    methods = rows("T", common).unionByName(rows("T", own)).unionByName(rows("U", own, "(int)").where("owner = 'U7'")).unionByName(rows("U", common).where("owner = 'U7'"))
+    got = {(r.from_id, r.to_id) for r in packages.implementations(specs.unionByName(more), methods).collect()}
+    want = {(f"T/{k}/{n}/()", f"I/{k}/{n}/()") for k in range(400) for n in ("common", f"own{k}")}
+    assert got == want | {("T/5/own5/()", "One/own5"), ("U/7/own7/(int)", "I/7/own7/(int)"), ("U/7/common/()", "I/7/common/()")}
+    named = lambda df, who: df.select("language", F.col("owner").alias(who), "name", "signature")
+    assert packages._candidates(named(specs, "interface"), named(methods, "type")).count() <= 402
