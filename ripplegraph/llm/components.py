@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, stored
+from .shared import discard, release, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def labels(edges: DataFrame, most_rounds: int | None = None) -> tuple[DataFrame,
         old, edges = edges, stored(_small_star(_large_star(edges)).where("a <> b").distinct(), "stars")
         if rounds:
             discard(spark, old)
+        release(spark)  # plans, generated code and blocks of finished rounds else fill the driver
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long")), F.lit(0))).first()
         rounds += 1
         if now == before or now[0] == 0 or rounds == most_rounds:

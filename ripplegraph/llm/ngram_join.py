@@ -545,6 +545,7 @@ class Verifier:
 
         out = stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
         discard(self.spark, pairs)
+        release(self.spark)
         return out
 
 
