@@ -26,16 +26,19 @@ def labels(edges: DataFrame, most_rounds: int | None = None) -> tuple[DataFrame,
 
     ``edges`` has two columns of longs.  Every step is an aggregation with
     map-side combining and a join; nothing is gathered for one node.  A round is
-    one job whose result is written; the number of rounds grows with the logarithm
-    of the longest chain.
+    two steps whose results are written; the number of rounds grows with the
+    logarithm of the longest chain.
     """
     spark = edges.sparkSession
     edges = edges.toDF("a", "b").where("a <> b")
     before, rounds = None, 0
     while True:
-        old, edges = edges, stored(_small_star(_large_star(edges)).where("a <> b").distinct(), "stars")
+        # Written between the steps: each reads its links several times, and both in one plan would multiply that.
+        large = stored(_large_star(edges), "stars")
         if rounds:
-            discard(spark, old)
+            discard(spark, edges)
+        edges = stored(_small_star(large).where("a <> b").distinct(), "stars")
+        discard(spark, large)
         release(spark)  # plans, generated code and blocks of finished rounds else fill the driver
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long")), F.lit(0))).first()
         rounds += 1

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, stored
+from .shared import discard, release, stored
 from .textbuf import SpanHash, row_slices, text_buffer
 
 MOST_LABELLED, RANK, NEIGHBOURS, SHARPNESS = 4096, 48, 15, 16
@@ -111,6 +111,10 @@ def nearest(sim: np.ndarray, k: int) -> np.ndarray:
     return near
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 @dataclass
 class KnnModel:
     idf: np.ndarray
@@ -120,8 +124,7 @@ class KnnModel:
     neighbours: int = NEIGHBOURS
 
     def project(self, weights: np.ndarray) -> np.ndarray:
-        x = (weights * self.idf) @ self.basis
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return _unit((weights * self.idf) @ self.basis)
 
     def vote(self, x: np.ndarray, block: int = 512) -> np.ndarray:
         """Scores of projected texts: exact products with all labelled vectors, in blocks of texts."""
@@ -167,16 +170,24 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str =
                 x = term_weights(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"row_id": b.column(0).slice(i, j - i).cast(pa.int64()), "y": b.column(2).slice(i, j - i), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = sorted((r.row_id, bytes(r.x), r.y) for r in texts.mapInArrow(terms, "row_id long, y double, x binary").collect())
+    rows = texts.mapInArrow(terms, "row_id long, y double, x binary").collect()
     discard(df.sparkSession, texts)
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), TERMS).astype(np.float32)
-    y = np.array([r[2] for r in rows], np.float64)
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    weighted = x * idf
-    _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    model = KnnModel(idf, np.ascontiguousarray(vectors[:, ::-1][:, :rank], dtype=np.float32), np.zeros((0, rank), np.float32), y)
-    model.vectors = model.project(x).astype(np.float32) if len(rows) else model.vectors
-    return model
+    release(df.sparkSession)
+    return _learnt(rows, rank)
+
+
+def _learnt(rows: list, rank: int) -> KnnModel:
+    """The model of rows (row_id, y, x), which are used up: beside the terms' products the driver holds one matrix of them."""
+    rows.sort(key=lambda r: (r.row_id, r.x, r.y))
+    y = np.array([r.y for r in rows], np.float64)
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for k, r in enumerate(rows):
+        x[k], rows[k] = np.frombuffer(r.x, np.float16), None
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+    x *= idf
+    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+    basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank], dtype=np.float32)
+    return KnnModel(idf, basis, _unit(x @ basis), y)
 
 
 def score(df: DataFrame, model: KnnModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

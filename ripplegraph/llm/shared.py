@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
@@ -53,6 +54,26 @@ def release(spark: SparkSession) -> None:
     """After a large shuffle: its files go now, not at the driver's next garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str:
+    """Hand native memory that the driver's JVM has freed back to the system; what the JVM says of it, or "" where it can't.
+
+    Compilers, codecs and hundreds of short-lived threads allocate natively; the
+    allocator keeps what they free, which no garbage collection returns.
+    """
+    jvm = spark.sparkContext._jvm
+    args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+    try:
+        # By reflection, as the server's own class is in a package that is not exported.
+        bean = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection")
+        invoke = next(m for m in bean.getMethods() if m.getName() == "invoke")
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        return str(invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args))
+    except Py4JError:  # not this JVM or system
+        return ""
 
 
 def partitions(spark: SparkSession) -> int:
